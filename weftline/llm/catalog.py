@@ -1,6 +1,6 @@
 """Queries of the training-data operators with their SQL."""
 
-from weftline.llm import splits, terms
+from weftline.llm import bpe, packing, splits, terms
 from weftline.plans.registry import Registry
 from weftline.runtime import table
 
@@ -45,3 +45,22 @@ FROM c FULL JOIN s ON c.term = s.st, n""",
 )
 def p2_terms(spark, d):
     return terms.term_report(table(spark, d, "task"), table(spark, d, "term_rank"))
+
+
+@llm.query("p7_ids")
+def p7_ids(spark, d):
+    return bpe.encode(table(spark, d, "documents"))
+
+
+def _packed(spark, d):
+    return packing.pack(bpe.token_counts(table(spark, d, "documents")), "doc_id", "n_tokens")
+
+
+@llm.query("p8_containers")
+def p8_containers(spark, d):
+    return _packed(spark, d)
+
+
+@llm.query("p8_report")
+def p8_report(spark, d):
+    return packing.packing_report(_packed(spark, d))
