@@ -1,6 +1,10 @@
 """Queries of the training-data operators with their SQL."""
 
-from weftline.llm import bpe, packing, splits, terms
+from pyspark.sql import functions as F
+
+from weftline.functions.names import path_text, task_key
+from weftline.llm import bpe, packing, pairs, splits, terms
+from weftline.operators.hierarchy import resolve_hierarchy
 from weftline.plans.registry import Registry
 from weftline.runtime import table
 
@@ -64,3 +68,40 @@ def p8_containers(spark, d):
 @llm.query("p8_report")
 def p8_report(spark, d):
     return packing.packing_report(_packed(spark, d))
+
+
+def _task_paths(spark, d):
+    r = table(spark, d, "rawdata")
+    return r.select(task_key(F.col("task_name")).alias("task"), path_text(F.col("path")).alias("path"))
+
+
+def _stored_links(links, left, right, names):
+    """(sl, sr, stored_cnt): rows stored twice once, sides in the order of names, null counts as none, batches added up."""
+    a = names.select(F.col("nid").alias(left), F.col("nm").alias("a"))
+    b = names.select(F.col("nid").alias(right), F.col("nm").alias("b"))
+    j = links.distinct().join(a, left).join(b, right).where("a <> b")
+    j = j.select("batch_no", F.least("a", "b").alias("sl"), F.greatest("a", "b").alias("sr"), F.coalesce("cnt", F.lit(0)).alias("cnt")).groupBy("batch_no", "sl", "sr").agg(F.max("cnt").alias("cnt"))
+    return j.groupBy("sl", "sr").agg(F.sum("cnt").alias("stored_cnt"))
+
+
+@llm.query("p4_found")
+def p4_found(spark, d):
+    p = pairs.cooccurrence(_task_paths(spark, d), "path", "task", 5, 0.2, tails=False)
+    return p.where("common * n_baskets >= 5 * n_l * n_r").select(F.col("l").alias("l_path"), F.col("r").alias("r_path"))
+
+
+@llm.query("p4_files")
+def p4_files(spark, d):
+    p = pairs.cooccurrence(_task_paths(spark, d), "path", "task", 5)
+    tree = resolve_hierarchy(table(spark, d, "module_tree")).select(F.col("id").alias("nid"), F.col("path").alias("nm")).where("nm is not null")
+    s = _stored_links(table(spark, d, "file_links"), "l_file", "r_file", tree)
+    return p.join(s, (F.col("l") == F.col("sl")) & (F.col("r") == F.col("sr")), "left").drop("sl", "sr").withColumnsRenamed({"l": "l_path", "r": "r_path"})
+
+
+@llm.query("p4_terms")
+def p4_terms(spark, d):
+    t = terms.one_per_record(table(spark, d, "task"), "name", "title").select(F.monotonically_increasing_id().alias("task"), terms.title_terms(F.col("v")).alias("ts"))
+    p = pairs.cooccurrence(pairs.stage(t.select("task", F.explode("ts").alias("term")), "title-terms"), "term", "task", 5)
+    names = table(spark, d, "term_rank").select(F.col("term_id").alias("nid"), F.lower(F.trim("term")).alias("nm"))
+    s = _stored_links(table(spark, d, "term_links"), "l_term", "r_term", names)
+    return p.join(s, (F.col("l") == F.col("sl")) & (F.col("r") == F.col("sr")), "left").drop("sl", "sr").withColumnsRenamed({"l": "l_term", "r": "r_term"})
