@@ -9,8 +9,6 @@ already resolved, so root, depth, path and kind follow by one join a round.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,24 +80,19 @@ def resolve_hierarchy(df: DataFrame, id: str = "id", parent: str = "parent_id",
 
     # what is left: the tops of the chains, and cores of cycles that are their own parent
     cyc = F.col("top").isNull()
-    done = [
-        act.select(
-            "id",
-            F.when(cyc, "cycle").otherwise(F.col("top")).alias("kind"),
-            F.when(F.col("top") == "tree", F.col("id")).alias("root_id"),
-            F.when(~cyc, F.lit(0)).alias("depth"),
-            F.when(~cyc, F.col("seg")).alias("names"),
-            F.when(~cyc, F.col("ids")).alias("id_path"),
-        )
-    ]
-    # Whoever a record names is in the tops or in a later record; records are read back last first.
+    known = act.select(
+        "id",
+        F.when(cyc, "cycle").otherwise(F.col("top")).alias("kind"),
+        F.when(F.col("top") == "tree", F.col("id")).alias("root_id"),
+        F.when(~cyc, F.lit(0)).alias("depth"),
+        F.when(~cyc, F.col("seg")).alias("names"),
+        F.when(~cyc, F.col("ids")).alias("id_path"),
+    )
+    # Records are read back last first; whoever one names is resolved by then. Each round at least doubles what is known or
+    # nearly so, hence writing it anew each time costs no more than a few passes over all nodes.
     for log in reversed(logs):
-        known = reduce(DataFrame.unionByName, done)
-        need = log.select(F.col("up").alias("r")).union(log.where("kid is not null").select(F.col("kid").alias("r"))).distinct()
-        up = known.join(need, known.id == need.r, "left_semi")
-        up = stage(up, "known")
-        u = up.select(*[F.col(c).alias(f"u_{c}") for c in up.columns])
-        c = up.select(F.col("id").alias("c_id"), F.col("kind").alias("c_kind"))
+        u = known.select(*[F.col(c).alias(f"u_{c}") for c in known.columns])
+        c = known.select(F.col("id").alias("c_id"), F.col("kind").alias("c_kind"))
         r = log.join(u, F.col("up") == F.col("u_id")).join(c, F.col("kid") == F.col("c_id"), "left")
         bad = F.col("u_kind").isin("cycle", "below_cycle")
         out = r.select(
@@ -110,9 +103,10 @@ def resolve_hierarchy(df: DataFrame, id: str = "id", parent: str = "parent_id",
             F.when(~bad, F.concat("u_names", "seg")).alias("names"),
             F.when(~bad, F.concat("u_id_path", "ids")).alias("id_path"),
         )
-        done.append(stage(out, "done"))
-        drop(up)
-    res = reduce(DataFrame.unionByName, done)
+        new = stage(known.unionByName(out), "known")
+        drop(known)
+        known = new
+    res = known
     return res.join(nodes, "id").select(
         "id", F.col("p").alias("parent_id"), F.col("nm").alias("name"), "kind", "root_id", "depth", F.array_join("names", "/").alias("path"), "id_path"
     )
