@@ -33,9 +33,9 @@ CHAINS += [(a, b, 1) for a in LATIN[:6] for b in LATIN[:6] if a != b]
 CHAINS += [(a, b, 1) for a in EAST for b in ("cp1252", "cp1251", "mac_roman")]
 
 CELLS = 256
-TRI, BI, UNI = 1 << 19, 1 << 17, 1 << 14
-#: Weights of the character model's orders; the last is spread over so many characters.
-MIX, CHARS = (0.6, 0.25, 0.1, 0.05), 20_000
+TRI, BI, UNI = 1 << 20, 1 << 18, 1 << 15
+#: Weights of the character model's parts: trigrams, pairs, characters; and how many characters a script is taken to have.
+MIX, CHARS = (0.7, 0.2, 0.1), 3_000
 LOST = "�"
 #: Sentences that only the fit's own words speak for need this posterior of damage.
 SURE = 0.5
@@ -162,29 +162,49 @@ def signature(sentence: str) -> str:
 
 
 class Model:
-    """Hashed character counts of three orders (of fixed size, so they can be sent to all) and priors of chains by cell."""
-
-    def __init__(self, tri: np.ndarray, bi: np.ndarray, uni: np.ndarray, prior: np.ndarray) -> None:
-        self.tri, self.bi, self.uni, self.prior = tri, bi, uni, np.log(prior)
-        self.total = max(1.0, float(uni.sum()))
+    """Hashed counts of characters, their pairs, triples and triples of scripts (of fixed size, so they can be sent to all), and
+    priors of chains by cell."""
+
+    def __init__(self, flat: np.ndarray, prior: np.ndarray) -> None:
+        self.tri, self.bi, self.uni, self.scripts = np.split(flat[:SIZE].astype(np.float32), np.cumsum([TRI, BI, UNI]))
+        self.prior = np.log(prior)
+        self.total = max(1.0, float(self.scripts.sum()))
+        own = np.zeros(N_SCRIPTS)
+        t = self.scripts.reshape((N_SCRIPTS,) * 3)
+        own += t.sum((0, 2))
+        self.own = np.maximum(own, 1.0)
 
     def score(self, word: str) -> float:
-        i = grams(word)
-        n3, n2, n1 = self.tri[i[0]], self.bi[i[1]], self.uni[i[2]]
-        c2, c1 = np.maximum(self.bi[i[3]], 1e-9), np.maximum(self.uni[i[4]], 1e-9)
-        p = MIX[0] * np.minimum(1, n3 / c2) * (n3 > 0) + MIX[1] * np.minimum(1, n2 / c1) * (n2 > 0) + MIX[2] * n1 / self.total + MIX[3] / CHARS
-        return float(np.log(p).sum())
-
-
-def grams(word: str) -> tuple[np.ndarray, ...]:
-    """Buckets of each character's trigram, bigram and unigram, and of the contexts of the first two."""
-    c = np.frombuffer(("\x02\x02" + word + "\x03").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        """Log likelihood of the word as a bag of trigrams, each drawn by its share of all: how often a form stands in the corpus
+        counts, not how well it continues itself, or rare forms of damage would explain themselves. A trigram not met before
+        is drawn by its scripts, and each character within its script. Every character is in three trigrams, hence the third."""
+        tri, bi, (a, b, d), (x, y, z), script = grams(word)
+        n = self.total
+        ch = [(self.uni[i] + 0.1) / (self.own[k] + 0.1 * CHARS) for i, k in ((a, x), (b, y), (d, z))]
+        cls = (self.scripts[script] + 0.01) / n
+        pair = (self.bi[bi] + 0.0) / self.own[y]
+        p = MIX[0] * self.tri[tri] / n + MIX[1] * cls * ch[0] * np.minimum(1, pair) + MIX[2] * cls * ch[0] * ch[1] * ch[2]
+        return float(np.log(p).sum()) / 3
+
+
+#: Where blocks of scripts begin; 0 is the edge of a word. ASCII letters are Latin like those beyond.
+_BLOCKS = [(0, 0), (4, 1), (0x40, 2), (0x7F, 1), (0xA0, 3), (0xC0, 2), (0x250, 4), (0x370, 5), (0x400, 6), (0x530, 4), (0x2000, 3), (0x2500, 7), (0x2600, 3), (0x2E80, 8), (0x3040, 9), (0x3100, 8), (0xA000, 4), (0xE000, 1), (0xF900, 8), (0xFB00, 4), (0xFF00, 8), (0xFFF0, 1), (0x10000, 3), (0x20000, 8)]
+N_SCRIPTS = 10
+SIZE = TRI + BI + UNI + N_SCRIPTS**3
+
+
+def grams(word: str) -> tuple:
+    """Buckets of each character's trigram and pair, of the three characters, their scripts, and the bucket of the scripts."""
+    c = np.frombuffer(("\x02" + word + "\x03").encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = np.array([x for _, x in _BLOCKS])[np.searchsorted([x for x, _ in _BLOCKS], c, "right") - 1]
+    k = np.where((c == 0xD7) | (c == 0xF7), 3, k)
+    c = c.astype(np.uint64)
+    m, s = np.uint64(0x9E3779B97F4A7C15), np.uint64(21)
+    h = lambda v, size: ((v * m) >> np.uint64(65 - size.bit_length())).astype(np.int64)
     a, b, d = c[:-2], c[1:-1], c[2:]
-    k = np.uint64(0x9E3779B97F4A7C15)
-    h = lambda x, bits: ((x * k) >> np.uint64(64 - bits)).astype(np.int64)
-    s = np.uint64(21)
-    u = lambda x: h(x + np.uint64(1), 14)
-    return h((a << s | b) << s ^ d * np.uint64(0x5851F42D4C957F2D), 19), h(b << s | d, 17), u(d), h(a << s | b, 17), u(b)
+    u = h(c + np.uint64(1), UNI)
+    x, y, z = k[:-2], k[1:-1], k[2:]
+    return h((a << s | b) << s ^ d * np.uint64(0x5851F42D4C957F2D), TRI), h(b << s | d, BI), (u[:-2], u[1:-1], u[2:]), (x, y, z), (x * N_SCRIPTS + y) * N_SCRIPTS + z
 
 
 class Judge:
@@ -259,39 +279,39 @@ def fit(sigs: DataFrame, rounds: int = 4) -> Model:
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pd.DataFrame], r: int = r, shared=shared) -> Iterator[pd.DataFrame]:
-            size = TRI + BI + UNI
+            size = SIZE
             acc, pri = np.zeros(size), np.zeros((CELLS, k))
             judge = Judge(shared.value) if r else None
             for b in batches:
+                words: dict[str, float] = {}
                 for cell, sig, n in zip(b.cell.tolist(), b.sig.tolist(), b.n.tolist()):
                     if not r:
                         post = [(0, sig, _plain(sig))]
                     else:
                         post = judge.posterior(sig, cell)
                     for i, t, p in post:
-                        if p > 1e-4:
+                        if p > 1e-6:
                             pri[cell, i] += p * n
-                            # the square root keeps sentences that repeat often from being the whole model
-                            w = p * n**0.5
                             for word in t.split(" "):
                                 if word:
-                                    g = grams(word)
-                                    np.add.at(acc, g[0], w)
-                                    np.add.at(acc, TRI + g[1], w)
-                                    np.add.at(acc, TRI + BI + g[2], w)
+                                    words[word] = words.get(word, 0.0) + p * n
+                for word, w in words.items():
+                    g = grams(word)
+                    for base, i in ((0, g[0]), (TRI, g[1]), (TRI + BI, g[2][1]), (TRI + BI, g[2][0][:1]), (TRI + BI, g[2][2][-1:]), (TRI + BI + UNI, g[4])):
+                        np.add.at(acc, base + i, w)
             at, pt = np.flatnonzero(acc), np.flatnonzero(pri.reshape(-1))
             yield pd.DataFrame({"at": np.concatenate([at, size + pt]), "w": np.concatenate([acc[at], pri.reshape(-1)[pt]])})
 
-        got = sigs.mapInPandas(run, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas()  # at most TRI + BI + UNI + CELLS * chains rows
-        flat = np.zeros(TRI + BI + UNI + CELLS * k)
+        got = sigs.mapInPandas(run, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas()  # at most SIZE + CELLS * chains rows
+        flat = np.zeros(SIZE + CELLS * k)
         flat[got["at"].to_numpy()] = got["w"].to_numpy()
         if r:
-            n = flat[TRI + BI + UNI :].reshape(CELLS, k)
+            n = flat[SIZE:].reshape(CELLS, k)
             whole = (n.sum(0) + prior[0] * 10) / (n.sum() + 10)
             prior = (n + 200 * whole) / (n.sum(1, keepdims=True) + 200)
             prior = np.maximum(prior, 1e-9)
             prior /= prior.sum(1, keepdims=True)
-        model = Model(flat[:TRI].astype(np.float32), flat[TRI : TRI + BI].astype(np.float32), flat[TRI + BI : TRI + BI + UNI].astype(np.float32), prior)
+        model = Model(flat, prior)
     return model
 
 
