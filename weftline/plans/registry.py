@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.runtime import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,7 +21,13 @@ class Registry:
         def add(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"{name} is registered twice")
-            self.queries[name] = f
+
+            @wraps(f)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return f(spark, sf_dir)
+
+            self.queries[name] = run
             if sql:
                 self.sql[name] = sql
             return f

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
+import zipfile
 import uuid
 import weakref
 
@@ -28,6 +30,26 @@ def session(master: str = "local[8]", app: str = "weftline") -> SparkSession:
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name, at = os.path.basename(here), os.path.join(tempfile.mkdtemp(prefix="weftline-py-"), "weftline_package.zip")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, here)))
+    sc.addPyFile(at)
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by spark.checkpoint.dir; a local one of our own only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
