@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions.names import path_text, task_key
-from weftline.llm import bpe, packing, pairs, splits, terms
+from weftline.llm import bpe, encodings, packing, pairs, splits, terms
 from weftline.operators.hierarchy import resolve_hierarchy
 from weftline.plans.registry import Registry
 from weftline.runtime import table
@@ -105,3 +105,13 @@ def p4_terms(spark, d):
     names = table(spark, d, "term_rank").select(F.col("term_id").alias("nid"), F.lower(F.trim("term")).alias("nm"))
     s = _stored_links(table(spark, d, "term_links"), "l_term", "r_term", names)
     return p.join(s, (F.col("l") == F.col("sl")) & (F.col("r") == F.col("sr")), "left").drop("sl", "sr").withColumnsRenamed({"l": "l_term", "r": "r_term"})
+
+
+@llm.query("p9_found")
+def p9_found(spark, d):
+    return encodings.repair(table(spark, d, "documents")).where("damaged").select("doc_id")
+
+
+@llm.query("p9_texts")
+def p9_texts(spark, d):
+    return encodings.repair(table(spark, d, "documents"))

@@ -174,17 +174,18 @@ class Model:
         own += t.sum((0, 2))
         self.own = np.maximum(own, 1.0)
 
-    def score(self, word: str) -> float:
-        """Log likelihood of the word as a bag of trigrams, each drawn by its share of all: how often a form stands in the corpus
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of each word as a bag of trigrams, each drawn by its share of all: how often a form stands in the corpus
         counts, not how well it continues itself, or rare forms of damage would explain themselves. A trigram not met before
-        is drawn by its scripts, and each character within its script. Every character is in three trigrams, hence the third."""
-        tri, bi, (a, b, d), (x, y, z), script = grams(word)
+        is drawn by its scripts, and each character within its script. Every character is in three trigrams, hence the
+        sum is halved: a third would take neighbours to tell nothing new."""
+        first, tri, bi, chars, (x, y, z), script = grams(words)
         n = self.total
-        ch = [(self.uni[i] + 0.1) / (self.own[k] + 0.1 * CHARS) for i, k in ((a, x), (b, y), (d, z))]
+        ch = [(self.uni[i] + 0.1) / (self.own[k] + 0.1 * CHARS) for i, k in zip(chars, (x, y, z))]
         cls = (self.scripts[script] + 0.01) / n
-        pair = (self.bi[bi] + 0.0) / self.own[y]
-        p = MIX[0] * self.tri[tri] / n + MIX[1] * cls * ch[0] * np.minimum(1, pair) + MIX[2] * cls * ch[0] * ch[1] * ch[2]
-        return float(np.log(p).sum()) / 3
+        pair = np.minimum(1, self.bi[bi] / self.own[y])
+        p = MIX[0] * self.tri[tri] / n + MIX[1] * cls * ch[0] * pair + MIX[2] * cls * ch[0] * ch[1] * ch[2]
+        return np.add.reduceat(np.log(p.astype(np.float64)), first) / 2
 
 
 #: Where blocks of scripts begin; 0 is the edge of a word. ASCII letters are Latin like those beyond.
@@ -193,52 +194,91 @@ N_SCRIPTS = 10
 SIZE = TRI + BI + UNI + N_SCRIPTS**3
 
 
-def grams(word: str) -> tuple:
-    """Buckets of each character's trigram and pair, of the three characters, their scripts, and the bucket of the scripts."""
-    c = np.frombuffer(("\x02" + word + "\x03").encode("utf-32-le", "surrogatepass"), np.uint32)
-    k = np.array([x for _, x in _BLOCKS])[np.searchsorted([x for x, _ in _BLOCKS], c, "right") - 1]
+_STARTS, _KINDS = np.array([x for x, _ in _BLOCKS]), np.array([x for _, x in _BLOCKS])
+
+
+def grams(words: list[str]) -> tuple:
+    """Of all words' trigrams one after another: where each word's begin, buckets of each trigram and pair, of the three
+    characters, their scripts, and the bucket of the scripts. No word is empty."""
+    c = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = _KINDS[np.searchsorted(_STARTS, c, "right") - 1]
     k = np.where((c == 0xD7) | (c == 0xF7), 3, k)
+    size = np.array([len(w) for w in words])
+    first = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(2 * np.arange(len(words)), size)  # two edges stand between words
     c = c.astype(np.uint64)
     m, s = np.uint64(0x9E3779B97F4A7C15), np.uint64(21)
     h = lambda v, size: ((v * m) >> np.uint64(65 - size.bit_length())).astype(np.int64)
-    a, b, d = c[:-2], c[1:-1], c[2:]
+    a, b, d = c[at], c[at + 1], c[at + 2]
     u = h(c + np.uint64(1), UNI)
-    x, y, z = k[:-2], k[1:-1], k[2:]
-    return h((a << s | b) << s ^ d * np.uint64(0x5851F42D4C957F2D), TRI), h(b << s | d, BI), (u[:-2], u[1:-1], u[2:]), (x, y, z), (x * N_SCRIPTS + y) * N_SCRIPTS + z
+    x, y, z = k[at], k[at + 1], k[at + 2]
+    return first, h((a << s | b) << s ^ d * np.uint64(0x5851F42D4C957F2D), TRI), h(b << s | d, BI), (u[at], u[at + 1], u[at + 2]), (x, y, z), (x * N_SCRIPTS + y) * N_SCRIPTS + z
+
+
+def count(words: dict[str, float]) -> np.ndarray:
+    """The weighted words' part of a model's counts."""
+    acc = np.zeros(SIZE)
+    w = list(words)
+    for i in range(0, len(w), 50_000):
+        part = w[i : i + 50_000]
+        first, tri, bi, u, _, script = grams(part)
+        wt = np.repeat(np.array([words[x] for x in part]), [len(x) for x in part])
+        last = np.append(first[1:], len(wt)) - 1
+        for base, k, v in ((0, tri, wt), (TRI, bi, wt), (TRI + BI, u[1], wt), (TRI + BI, u[0][first], wt[first]), (TRI + BI, u[2][last], wt[last]), (TRI + BI + UNI, script, wt)):
+            acc += np.bincount(base + k, v, SIZE)
+    return acc
+
+
+_variants: dict[str, tuple[tuple[int, str], ...]] = {}
+
+
+def variants(word: str) -> tuple[tuple[int, str], ...]:
+    """(chain, text) of every chain that changes the word."""
+    if (v := _variants.get(word)) is None:
+        if len(_variants) > 200_000:
+            _variants.clear()
+        v = _variants[word] = tuple((i, t) for i, c in enumerate(chains()) if i and (t := c.undo(word)) != word)
+    return v
 
 
 class Judge:
     """Posteriors of chains for signatures, with what was met before kept."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.words = model, {}
-
-    def options(self, sig: str) -> list[tuple[int, str, float]]:
-        """(chain, text, log likelihood) of every chain that changes the signature, and of none."""
-        out, seen = [], {}
-        for i, c in enumerate(chains()):
-            t = " ".join(c.undo(w) for w in sig.split(" ")) if i else sig
-            if i and t == sig:
-                continue
-            if t in seen:  # chains with the same outcome share its likelihood; the first stands for all
-                continue
-            seen[t] = i
-            out.append((i, t, sum(self.word(w) for w in t.split(" ") if w)))
-        return out
+        self.m, self.ll = model, {}
+
+    def prepare(self, sigs) -> None:
+        """Scores all words that the signatures and what chains make of them consist of, in one go."""
+        if len(self.ll) > 400_000:
+            self.ll.clear()
+        need = set()
+        for s in sigs:
+            for w in s.split(" "):
+                if w not in self.ll:
+                    need.add(w)
+                    need.update(x for _, t in variants(w) for x in t.split(" "))
+        new = [w for w in need if w and w not in self.ll]
+        for i in range(0, len(new), 20_000):
+            self.ll.update(zip(new[i : i + 20_000], self.m.score(new[i : i + 20_000]).tolist()))
 
     def word(self, w: str) -> float:
-        if (s := self.words.get(w)) is None:
-            if len(self.words) > 300_000:
-                self.words.clear()
-            s = self.words[w] = self.m.score(w)
-        return s
+        if w not in self.ll:
+            self.ll[w] = float(self.m.score([w])[0])
+        return self.ll[w]
 
     def posterior(self, sig: str, cell: int) -> list[tuple[int, str, float]]:
-        o = self.options(sig)
-        x = np.array([ll + self.m.prior[cell, i] for i, _, ll in o])
+        """(chain, text, posterior) of no chain and of every one that changes the signature; chains of one outcome are one."""
+        words = sig.split(" ")
+        var = [dict(variants(w)) for w in words]
+        seen, o = {sig}, [(0, sig)]
+        for i in sorted(set().union(*var)):
+            t = " ".join(v.get(i, w) for w, v in zip(words, var))
+            if t not in seen:
+                seen.add(t)
+                o.append((i, t))
+        x = np.array([sum(self.word(w) for w in t.split(" ") if w) + self.m.prior[cell, i] for i, t in o])
         p = np.exp(x - x.max())
-        p /= p.sum()
-        return [(i, t, float(q)) for (i, t, _), q in zip(o, p)]
+        return [(i, t, q) for (i, t), q in zip(o, (p / p.sum()).tolist())]
 
 
 def _sigs(df: DataFrame, id: str, text: str, cell) -> DataFrame:
@@ -260,11 +300,12 @@ def _sigs(df: DataFrame, id: str, text: str, cell) -> DataFrame:
 
 def _plain(sig: str) -> float:
     """Weight of evidence for the first character model: little where a chain from UTF-8 accounts for every character."""
-    for c in chains()[1:]:
-        if c.true == "utf8" and c.times == 1:
-            t = c.undo(sig)
-            if t != sig and len(sig) - len(t) >= sum(ch > "\x7f" for ch in sig) / 2.01:
-                return 0.01
+    words = sig.split(" ")
+    var = [dict(variants(w)) for w in words]
+    beyond = sum(ch > "\x7f" for ch in sig) / 2.01
+    for i in set().union(*var):
+        if CHAINS[i][0] == "utf8" and CHAINS[i][2] == 1 and sum(len(w) - len(v.get(i, w)) for w, v in zip(words, var)) >= beyond:
+            return 0.01
     return 1.0
 
 
@@ -280,10 +321,13 @@ def fit(sigs: DataFrame, rounds: int = 4) -> Model:
 
         def run(batches: Iterator[pd.DataFrame], r: int = r, shared=shared) -> Iterator[pd.DataFrame]:
             size = SIZE
-            acc, pri = np.zeros(size), np.zeros((CELLS, k))
+            words: dict[str, float] = {}
+            pri = np.zeros((CELLS, k))
+            acc = np.zeros(size)
             judge = Judge(shared.value) if r else None
             for b in batches:
-                words: dict[str, float] = {}
+                if judge:
+                    judge.prepare(b.sig)
                 for cell, sig, n in zip(b.cell.tolist(), b.sig.tolist(), b.n.tolist()):
                     if not r:
                         post = [(0, sig, _plain(sig))]
@@ -295,10 +339,10 @@ def fit(sigs: DataFrame, rounds: int = 4) -> Model:
                             for word in t.split(" "):
                                 if word:
                                     words[word] = words.get(word, 0.0) + p * n
-                for word, w in words.items():
-                    g = grams(word)
-                    for base, i in ((0, g[0]), (TRI, g[1]), (TRI + BI, g[2][1]), (TRI + BI, g[2][0][:1]), (TRI + BI, g[2][2][-1:]), (TRI + BI + UNI, g[4])):
-                        np.add.at(acc, base + i, w)
+                if len(words) > 500_000:
+                    acc += count(words)
+                    words = {}
+            acc += count(words)
             at, pt = np.flatnonzero(acc), np.flatnonzero(pri.reshape(-1))
             yield pd.DataFrame({"at": np.concatenate([at, size + pt]), "w": np.concatenate([acc[at], pri.reshape(-1)[pt]])})
 
@@ -352,6 +396,7 @@ def repair(df: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(shared.value)
         for b in batches:
+            judge.prepare({g for t in b["_text"] if t for s in sentences(t) if (g := signature(s))})
             r = [(t, False, "") if not t else repair_text(t, c, judge) for t, c in zip(b["_text"], b["_cell"])]
             yield pd.DataFrame({id: b["_id"], "text": [x[0] for x in r], "damaged": [x[1] for x in r], "chains": [x[2] for x in r]})
 
