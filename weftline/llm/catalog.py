@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions.names import path_text, task_key
-from weftline.llm import bpe, encodings, packing, pairs, splits, terms
+from weftline.llm import bpe, encodings, overlap, packing, pairs, splits, terms
 from weftline.operators.hierarchy import resolve_hierarchy
 from weftline.plans.registry import Registry
 from weftline.runtime import table
@@ -115,3 +115,22 @@ def p9_found(spark, d):
 @llm.query("p9_texts")
 def p9_texts(spark, d):
     return encodings.repair(table(spark, d, "documents"))
+
+
+def _overlaps(spark, d):
+    return overlap.split_overlaps(table(spark, d, "task"), table(spark, d, "task_split"))
+
+
+@llm.query("p5_found")
+def p5_found(spark, d):
+    return _overlaps(spark, d).select(F.least("train_id", "eval_id").alias("l_id"), F.greatest("train_id", "eval_id").alias("r_id"))
+
+
+@llm.query("p5_pairs")
+def p5_pairs(spark, d):
+    return _overlaps(spark, d)
+
+
+@llm.query("p5_report")
+def p5_report(spark, d):
+    return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "task_split"))
