@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions.names import path_text, task_key
-from weftline.llm import bpe, encodings, overlap, packing, pairs, splits, terms
+from weftline.llm import bpe, encodings, neighbours, overlap, packing, pairs, splits, terms
 from weftline.operators.hierarchy import resolve_hierarchy
 from weftline.plans.registry import Registry
 from weftline.runtime import table
@@ -134,3 +134,13 @@ def p5_pairs(spark, d):
 @llm.query("p5_report")
 def p5_report(spark, d):
     return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "task_split"))
+
+
+@llm.query("p3_found")
+def p3_found(spark, d):
+    return neighbours.close_pairs(table(spark, d, "vec_collection"))
+
+
+@llm.query("p3_pairs")
+def p3_pairs(spark, d):
+    return neighbours.most_similar(table(spark, d, "vec_collection"))
