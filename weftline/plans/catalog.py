@@ -1,6 +1,6 @@
 """Imports every module of core queries, so that the registry is filled."""
 
-from weftline.plans import hierarchies, retrieval, serving, terms  # noqa: F401
+from weftline.plans import extensions, hierarchies, retrieval, serving, terms  # noqa: F401
 from weftline.plans.registry import core
 
 __all__ = ["core"]
