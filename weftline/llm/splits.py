@@ -19,7 +19,9 @@ from weftline.operators.ranking import exact_rank
 from weftline.runtime import stage
 
 #: Cost of a row above a split's quota of all rows, and above its quota of one label's rows.
-OVER_TOTAL, OVER_LABEL = 1000, 1
+OVER_TOTAL, OVER_LABEL = 1_000_000, 1000
+#: A quota is filled in so many steps of rising cost, so that splits that cannot all be filled are filled alike.
+STEPS = 20
 
 
 def link_records(raw: DataFrame) -> DataFrame:
@@ -137,7 +139,8 @@ def plan_bundles(bundles: list[tuple[int, str, int]], plan: list[tuple[str, floa
         for k in range(m):
             arcs[lab, k] = [f.arc(2 + i, 2 + L + k, max(0, lab_left[lab][k]), 0), f.arc(2 + i, 2 + L + k, total, OVER_LABEL)]
     for k in range(m):
-        f.arc(2 + L + k, 1, max(0, left[k]), 0)
+        for j in range(STEPS):
+            f.arc(2 + L + k, 1, max(0, left[k]) * (j + 1) // STEPS - max(0, left[k]) * j // STEPS, j)
         f.arc(2 + L + k, 1, total, OVER_TOTAL)
     f.run(0, 1)
     flow = {key: sum(f.g[a[0]][a[3]][1] for a in two) for key, two in arcs.items()}
