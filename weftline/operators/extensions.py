@@ -136,15 +136,17 @@ def rouge_recall(reference: Column, candidate: Column, n: int) -> Column:
 def turn_report(turns: DataFrame, conv: str, turn: str, tokens: str, budget: int = 4096) -> DataFrame:
     """(conv, turn, gain, drift, entropy, used, within) of each turn: new terms, share of terms unlike the turn before, entropy of its
     words in bits, tokens used so far and whether they fit the budget."""
-    w = Window.partitionBy(conv).orderBy(turn)
-    t = turns.select(conv, turn, F.col(tokens).alias("t"), F.array_distinct(tokens).alias("d"))
-    t = t.withColumn("p", F.lag("d").over(w)).withColumn("used", F.sum(F.size("t")).over(w))
-    first = t.select(conv, turn, F.explode("d").alias("x")).groupBy(conv, "x").agg(F.min(turn).alias("f")).groupBy(conv, F.col("f").alias(turn)).agg(F.count("*").alias("g"))
-    n = F.size("t")
-    count = lambda x: F.size(F.filter("t", lambda y: y == x))
-    ent = F.aggregate(F.transform("d", lambda x: -(count(x) / n) * F.log2(count(x) / n)), F.lit(0.0), lambda a, x: a + x)
-    drift = F.when(F.col("p").isNull(), 0.0).otherwise(1 - F.size(F.array_intersect("d", "p")) / F.nullif(F.size(F.array_union("d", "p")), F.lit(0)))
-    return t.join(first, [conv, turn], "left").select(conv, turn, F.coalesce("g", F.lit(0)).alias("gain"), drift.alias("drift"), ent.alias("entropy"), "used", (F.col("used") <= budget).alias("within"))
+    w = Window.partitionBy("_c").orderBy("_k")
+    t = turns.select(F.col(conv).alias("_c"), F.col(turn).alias("_k"), F.col(tokens).alias("_t"), F.array_distinct(tokens).alias("_d"))
+    t = t.withColumn("_p", F.lag("_d").over(w)).withColumn("used", F.sum(F.size("_t")).over(w))
+    first = t.select("_c", "_k", F.explode("_d").alias("_x")).groupBy("_c", "_x").agg(F.min("_k").alias("_k")).groupBy("_c", "_k").agg(F.count("*").alias("_g"))
+    n = F.size("_t")
+    count = lambda x: F.size(F.filter("_t", lambda y: y == x))
+    ent = F.aggregate(F.transform("_d", lambda x: -(count(x) / n) * F.log2(count(x) / n)), F.lit(0.0), lambda a, x: a + x)
+    drift = F.when(F.col("_p").isNull(), 0.0).otherwise(1 - F.size(F.array_intersect("_d", "_p")) / F.nullif(F.size(F.array_union("_d", "_p")), F.lit(0)))
+    return t.join(first, ["_c", "_k"], "left").select(
+        F.col("_c").alias(conv), F.col("_k").alias(turn), F.coalesce("_g", F.lit(0)).alias("gain"), drift.alias("drift"), ent.alias("entropy"), "used", (F.col("used") <= budget).alias("within")
+    )
 
 
 def novelty_structure(ranked: DataFrame, known: DataFrame, module: Column) -> DataFrame:

@@ -16,7 +16,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """SK03: new rows replace old ones of their key, the last by order winning; keys only in one side stay. Write the result elsewhere, then swap."""
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
     n = new.withColumn("_r", last).where("_r = 1").drop("_r")
-    return old.join(n.select(key), key, "left_anti").unionByName(n, allowMissingColumns=True)
+    return old.join(n.select(key), key, "left_anti").select(*old.columns).unionByName(n, allowMissingColumns=True)
 
 
 def fill_task_names(commits: DataFrame, found: DataFrame) -> DataFrame:
