@@ -144,3 +144,8 @@ def p3_found(spark, d):
 @llm.query("p3_pairs")
 def p3_pairs(spark, d):
     return neighbours.most_similar(table(spark, d, "vec_collection"))
+
+
+@llm.query("p3_search")
+def p3_search(spark, d):
+    return neighbours.search_rows(table(spark, d, "vec_collection"))

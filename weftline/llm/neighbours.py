@@ -520,3 +520,74 @@ def close_pairs(df: DataFrame, least: float = 0.9, k: int = 10) -> DataFrame:
     """(l_id, r_id), l_id < r_id: one is among the k most similar of the other and the similarity is at least `least`."""
     p = most_similar(df, k).where(F.col("similarity") >= least - 1e-7)
     return p.select(F.least("l_id", "r_id").alias("l_id"), F.greatest("l_id", "r_id").alias("r_id")).distinct()
+
+
+#: Greedy search: vectors compared as entries (a bounded sample), of which so many start; nodes kept and expanded at a time; rounds at most.
+ENTRIES, STARTS, BEAM, EXPAND, STEPS = 2048, 8, 40, 4, 30
+
+
+def graph_search(queries: DataFrame, edges: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, node, s) of each query's k nearest nodes found by greedy walks over the graph; approximate.
+
+    queries (qid, grp, v), edges (u, w) in either direction, vectors (node, grp, v), v as 32-bit floats of length 1, grp telling which may meet.
+    A query starts at the best of a bounded sample of entries. In each round it expands its best nodes not yet expanded: their
+    neighbours that it has not met are compared, and its BEAM best stay. It ends when all of them are expanded. Queries are rows of
+    joins with the graph and the vectors, so neither is ever gathered.
+    """
+    from weftline.functions.vectors import dot
+
+    both = stage(edges.select("u", "w").union(edges.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct().groupBy("u").agg(F.collect_list("w").alias("ws")), "adjacency")
+    vec = stage(vectors.select("node", "grp", "v"), "vectors")
+    qs = stage(queries.select("qid", "grp", F.col("v").alias("q")), "queries")
+    # entries: in each group those of the smallest hashes, ENTRIES in all at most
+    groups = max(1, vec.select("grp").distinct().count())
+    order = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("node")))
+    sample = vec.withColumn("x", order).where(F.col("x") <= max(STARTS, ENTRIES // groups)).drop("x")
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("s").desc(), "node"))
+    near = qs.join(F.broadcast(sample), "grp").select("qid", "node", dot(F.col("q"), F.col("v")).alias("s"))
+    beam = stage(near.withColumn("x", best).where(F.col("x") <= STARTS).select("qid", "node", "s", F.lit(False).alias("done")), "beam")
+    met = beam.select("qid", "node")
+    for _ in range(STEPS):
+        todo = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("s").desc(), "node"))
+        front = beam.where("not done").withColumn("x", todo).where(F.col("x") <= EXPAND).select("qid", "node")
+        front = stage(front, "front")
+        if front.isEmpty():
+            break
+        new = front.join(both, front.node == both.u).select("qid", F.explode("ws").alias("node")).distinct().join(met, ["qid", "node"], "left_anti")
+        new = stage(new, "new")
+        seen = new.join(qs, "qid").join(vec.select("node", "v"), "node").select("qid", "node", dot(F.col("q"), F.col("v")).alias("s"), F.lit(False).alias("done"))
+        old = beam.join(front.withColumn("f", F.lit(True)), ["qid", "node"], "left").select("qid", "node", "s", (F.col("done") | F.coalesce("f", F.lit(False))).alias("done"))
+        grown = old.unionByName(seen).withColumn("x", best).where(F.col("x") <= BEAM).drop("x")
+        nxt = stage(grown, "beam")
+        met = stage(met.unionByName(new), "met")
+        drop(beam, front)
+        beam = nxt
+    return beam.withColumn("x", best).where(F.col("x") <= k).select("qid", "node", "s")
+
+
+def search_rows(df: DataFrame, k: int = 10, every: int = 20, id: str = "id", path: str = "path", kind: str = "type", vector: str = "vector") -> DataFrame:
+    """(query_id, id, path, similarity, rank): greedy graph search of the stated query set - usable rows whose id is divisible by `every` - against all
+    usable rows of their type and length and of another path. A query's own class of equal vectors counts like any other; ties by id.
+    """
+    rows = stage(usable(df, id, path, kind, vector), "usable")
+    edges, nodes = similar_classes(rows)
+    grp = F.xxhash64(F.coalesce("kind", F.lit("\0")), F.col("dim"))
+    key = rows.select("id", F.coalesce("path", F.lit("\0")).alias("path"), grp.alias("grp"), "cls", F.col("v").alias("raw"))
+    named = stage(key.join(nodes.select("node", grp.alias("grp"), "cls"), ["grp", "cls"]), "named")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"i": b["i"], "grp": b["grp"], "v": [np.frombuffer(x, np.float32) for x in b["raw"]]})
+
+    as_array = lambda d: d.mapInPandas(unpack, "i long, grp long, v array<float>")
+    vec = as_array(named.groupBy("node", "grp").agg(F.first("raw").alias("raw")).select(F.col("node").alias("i"), "grp", "raw")).withColumnRenamed("i", "node")
+    q = as_array(named.where(F.col("id") % every == 0).select(F.col("id").alias("i"), "grp", "raw")).withColumnRenamed("i", "qid")
+    # more than k nodes, for those that drop out as rows of the query's own path
+    found = graph_search(q, edges, vec, BEAM)
+    r1 = F.row_number().over(Window.partitionBy("node", "path").orderBy("id"))
+    r2 = F.row_number().over(Window.partitionBy("node").orderBy("id"))
+    few = named.select("node", "id", "path").withColumn("x", r1).where(F.col("x") <= k).withColumn("x", r2).where(F.col("x") <= 2 * k).drop("x")
+    own = named.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("path").alias("own"))
+    j = found.join(few, "node").join(own, "qid").where("path <> own")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("s").desc(), "id"))
+    return j.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "id", F.when(F.col("path") != "\0", F.col("path")).alias("path"), F.round("s", 6).alias("similarity"), "rank")
