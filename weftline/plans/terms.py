@@ -136,7 +136,7 @@ def _(spark, d):
     return r.select("term", "file_cnt", "root_cnt", *[F.round(c, 8).alias(c) for c in ("hhi_file", "hhi_root", "composite")], F.col("rank").cast("int").alias("rank"))
 
 
-@Q("A13_term_rank_table", ctes("r", "tt", more=_TN + ", a AS (SELECT term, sum(cnt) AS total_count, count(*) AS task_cnt FROM tt GROUP BY term)") + "SELECT a.term, a.total_count, a.task_cnt, coalesce(file_cnt, 0) AS file_cnt, coalesce(root_cnt, 0) AS root_cnt FROM a LEFT JOIN tot USING (term) LEFT JOIN rr USING (term)")
+@Q("A13_term_rank_table", ctes("r", "tt", more=_TN + ", a AS (SELECT term, CAST(sum(cnt) AS BIGINT) AS total_count, count(*) AS task_cnt FROM tt GROUP BY term)") + "SELECT a.term, a.total_count, a.task_cnt, coalesce(file_cnt, 0) AS file_cnt, coalesce(root_cnt, 0) AS root_cnt FROM a LEFT JOIN tot USING (term) LEFT JOIN rr USING (term)")
 def _(spark, d):
     a = title_term_counts(spark, d).groupBy("term").agg(F.sum("cnt").alias("total_count"), F.count("*").alias("task_cnt"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
