@@ -76,6 +76,8 @@ def test_splits_of_nothing(spark):
     plan = spark.createDataFrame([("train", 1.0)], "split string, share double")
     assert splits.split_records(raw_table(spark, []), plan).collect() == []
     assert splits.tied_tasks(raw_table(spark, [])).collect() == []
+    two = splits.split_records(raw_table(spark, [(None, None, None, None, None)] * 2), plan).collect()
+    assert [(r.split, r.group_key) for r in two] == [("train", "R:")] * 2
     one = splits.split_records(raw_table(spark, [(1, None, None, None, None)]), plan.limit(0)).collect()
     assert [(r.id, r.split, r.group_key) for r in one] == [(1, None, "R:1")]
 
@@ -111,8 +113,6 @@ def test_last_seen_counters_flush(monkeypatch):
     rng = random.Random(1)
     recs = [[rng.choice("abcdefg") for _ in range(rng.randrange(5))] or None for _ in range(60)]
     total, cnt = Counter(), Counter()
-    for i in range(0, 60, 7):
-        pass
     batches = [pa.RecordBatch.from_arrays([pa.array(recs[i : i + 7], pa.list_(pa.string()))], ["t"]) for i in range(0, 60, 7)]
     n = 0
     for b in terms._count(iter(batches)):

@@ -37,8 +37,8 @@ TRI, BI, UNI = 1 << 20, 1 << 18, 1 << 15
 #: Weights of the character model's parts: trigrams, pairs, characters; and how many characters a script is taken to have.
 MIX, CHARS = (0.7, 0.2, 0.1), 3_000
 LOST = "�"
-#: Sentences that only the fit's own words speak for need this posterior of damage.
-SURE = 0.5
+#: Posterior of damage from which a sentence is repaired. Halved evidence makes posteriors cautious, hence less than a half.
+SURE = 0.2
 
 _SENTENCE = re.compile(r"[^\n\r]*?(?:[.!?:;](?=\s)|(?=[\n\r])|$)[ \t]*|[\n\r]+")
 _TOKEN = re.compile(r"[\x40-\x7e\x80-\U0010ffff]*[\x80-\U0010ffff][\x40-\x7e\x80-\U0010ffff]*")

@@ -50,7 +50,7 @@ def assign_groups(links: DataFrame, ties: DataFrame) -> DataFrame:
     root = F.coalesce("root", "via")
     return g.withColumn(
         "group_key",
-        F.when(root.isNotNull(), F.concat(F.lit("T:"), root)).when(F.col("commit").isNotNull(), F.concat(F.lit("C:"), F.col("commit"))).otherwise(F.concat(F.lit("R:"), F.col("id").cast("string"))),
+        F.when(root.isNotNull(), F.concat(F.lit("T:"), root)).when(F.col("commit").isNotNull(), F.concat(F.lit("C:"), F.col("commit"))).otherwise(F.concat(F.lit("R:"), F.coalesce(F.col("id").cast("string"), F.lit("")))),
     ).drop("root", "via")
 
 
@@ -174,7 +174,8 @@ def split_records(raw: DataFrame, plan: DataFrame) -> DataFrame:
 
     Shares of rows of plan (split, share; its few rows are read to the driver, rows with a null or non-positive share are ignored) are
     met as nearly as whole components allow. A label is what the component holds: tasks, a commit alone or a row alone.
-    Null and unreadable values tie nothing; an empty table gives an empty result; an empty plan gives null splits.
+    Null and unreadable values tie nothing, but rows with neither id, task nor commit are one group. Repeated rows stay rows of
+    their own. An empty table gives an empty result; an empty plan gives null splits.
     """
     links = stage(link_records(raw), "links")
     grouped = stage(assign_groups(links, stage(tie_tasks(links), "ties")), "grouped")
