@@ -109,7 +109,7 @@ def unordered_links(pairs: DataFrame, group: str, item: str, hot: int = 2000) ->
     """
     d = pairs.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null").distinct()
     size = d.groupBy("g").agg(F.count("*").alias("n"))
-    big = F.broadcast(size.where(F.col("n") > hot))
+    big = size.where(F.col("n") > hot)  # their number grows with the data, so Spark chooses the join by its size
     light = d.join(big, "g", "left_anti").groupBy("g").agg(F.sort_array(F.collect_list("i")).alias("a"))
     two = light.where(F.size("a") > 1).select(
         F.explode(F.expr("flatten(transform(sequence(1, size(a) - 1), k -> transform(slice(a, k + 1, size(a)), y -> struct(element_at(a, k) as l, y as r))))")).alias("p")
