@@ -16,8 +16,36 @@ o AS (SELECT rec, unnest(ts) AS term FROM w),
 c AS (SELECT term, count(*) AS total_count, count(DISTINCT rec) AS task_cnt FROM o GROUP BY term),
 n AS (SELECT count(*) AS n FROM w WHERE len(ts) > 0)"""
 
-
-@llm.query("p1_found")
+_WS = "[ \\t\\n\\r\\f\\x0b]"
+_TASK_KEY = f"""CASE WHEN regexp_matches(regexp_replace(trim(task_name, E' \\t\\n\\r'), '^[A-Za-z]+://.*/', ''), '[A-Za-z][A-Za-z0-9]*?[ _#:.–-]*0*[0-9]+') THEN
+ upper(regexp_extract(regexp_replace(trim(task_name, E' \\t\\n\\r'), '^[A-Za-z]+://.*/', ''), '^[^A-Za-z0-9]*([A-Za-z][A-Za-z0-9]*?)[ _#:.–-]*0*([0-9]+)([^A-Za-z0-9].*)?$', 1)) || '-' ||
+ regexp_extract(regexp_replace(trim(task_name, E' \\t\\n\\r'), '^[A-Za-z]+://.*/', ''), '^[^A-Za-z0-9]*([A-Za-z][A-Za-z0-9]*?)[ _#:.–-]*0*([0-9]+)([^A-Za-z0-9].*)?$', 2) END"""
+_UP = "regexp_replace({}, '(^|/)[^/]+/[.][.](/|$)', '\\1')"
+_CLEAN = f"regexp_replace(regexp_replace(regexp_replace('/' || replace(regexp_replace(path, '^{_WS}+|{_WS}+$', '', 'g'), '\\', '/') || '/', '/([.]?/)+', '/', 'g'), '/([.]/)+', '/', 'g'), '^/|/$', '', 'g')"
+_PATH = f"nullif({_UP.format(_UP.format(_CLEAN))}, '')"
+
+_TIED = f"""WITH RECURSIVE x AS (SELECT nullif({_TASK_KEY}, '-') AS task, lower(trim(sha, E' \\t\\n\\r')) AS s FROM rawdata),
+h AS (SELECT DISTINCT s FROM x WHERE regexp_full_match(s, '[0-9a-f]{{4,40}}') AND s <> repeat('0', 40)),
+ful AS (SELECT s FROM h WHERE length(s) = 40), ab AS (SELECT h.s, min(ful.s) AS f FROM h JOIN ful ON starts_with(ful.s, h.s) WHERE length(h.s) < 40 GROUP BY h.s HAVING count(*) = 1),
+res AS (SELECT s, s AS f FROM ful UNION ALL SELECT s, f FROM ab),
+e AS (SELECT DISTINCT x.task, res.f FROM x JOIN res USING (s) WHERE x.task IS NOT NULL),
+l AS (SELECT DISTINCT a.task AS a, b.task AS b FROM e a JOIN e b ON a.f = b.f AND a.task <> b.task),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT a AS task_name, least(a, min(b)) AS group_name FROM r GROUP BY a"""
+
+_PAIRS = f"""WITH i AS (SELECT DISTINCT nullif({_TASK_KEY}, '-') AS task, {_PATH} AS path FROM rawdata), j AS (SELECT * FROM i WHERE task IS NOT NULL AND path IS NOT NULL),
+n AS (SELECT count(DISTINCT task) AS n FROM j), d AS (SELECT path, count(*) AS d FROM j GROUP BY 1 HAVING count(*) >= 5), k AS (SELECT j.*, d FROM j JOIN d USING (path)),
+p AS (SELECT a.path AS l_path, b.path AS r_path, any_value(a.d) AS da, any_value(b.d) AS db, count(*) AS c FROM k a JOIN k b ON a.task = b.task AND a.path < b.path GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT l_path, r_path FROM p, n WHERE c * n >= 5 * da * db"""
+
+_CLOSE = """WITH v AS (SELECT id, coalesce(path, chr(1)) AS path, coalesce(type, chr(1)) AS type, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM vec_collection WHERE vector IS NOT NULL AND id IS NOT NULL),
+u AS (SELECT *, len(v) AS dim, sqrt(list_dot_product(v, v)) AS n FROM v WHERE len(v) > 0 AND len(list_filter(v, lambda x: isfinite(x))) = len(v) AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) / (a.n * b.n) AS s FROM u a JOIN u b ON a.type = b.type AND a.dim = b.dim AND a.path <> b.path),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10)
+SELECT DISTINCT least(a, b) AS l_id, greatest(a, b) AS r_id FROM t WHERE s >= 0.9 - 1e-7"""
+
+
+@llm.query("p1_found", _TIED)
 def p1_found(spark, d):
     return splits.tied_tasks(table(spark, d, "rawdata"))
 
@@ -84,7 +112,7 @@ def _stored_links(links, left, right, names):
     return j.groupBy("sl", "sr").agg(F.sum("cnt").alias("stored_cnt"))
 
 
-@llm.query("p4_found")
+@llm.query("p4_found", _PAIRS)
 def p4_found(spark, d):
     p = pairs.cooccurrence(_task_paths(spark, d), "path", "task", 5, 0.2, tails=False)
     return p.where("common * n_baskets >= 5 * n_l * n_r").select(F.col("l").alias("l_path"), F.col("r").alias("r_path"))
@@ -136,7 +164,7 @@ def p5_report(spark, d):
     return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "task_split"))
 
 
-@llm.query("p3_found")
+@llm.query("p3_found", _CLOSE)
 def p3_found(spark, d):
     return neighbours.close_pairs(table(spark, d, "vec_collection"))
 
