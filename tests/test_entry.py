@@ -21,4 +21,4 @@ def test_core_does_not_import_the_subpackage():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 1
+    assert entry.entry(spark).count() > 100
