@@ -146,6 +146,50 @@ def test_pairs(spark):
     assert pairs.cooccurrence(df.limit(0), "path", "task", 5).collect() == []
 
 
+def test_reports_hold_every_pair(spark, tmp_path):
+    from weftline.llm.catalog import llm
+
+    rng = random.Random(6)
+    inc = [(f"T-{rng.randrange(1, 12)}", f"d/p{rng.randrange(14)}") for _ in range(60)] + [("T-99", f"d/p{i}") for i in range(14, 140)]
+    by, deg, com = defaultdict(set), Counter(), Counter()
+    for t, p in inc:
+        by[t].add(p)
+    for s in by.values():
+        deg.update(s)
+        com.update(itertools.combinations(sorted(s), 2))
+    tree = [(1000, None, "d")] + [(i, 1000, f"p{i}") for i in range(150)]
+    met = [tuple(int(p[3:]) for p in k) for k, v in com.items() if v == 1][0]
+    links = [(1, *met, 2), (2, *met[::-1], 3), (1, 0, 20, 4), (1, 0, 149, 7), (1, 148, 149, None)]
+    title = [(k, f"A-{k}", t) for k, t in enumerate(["red green", "red green blue", "blue black", None, "", "white"])]
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put(inc, "task_name string, path string", "rawdata")
+    put(tree, "id long, parent_id long, name string", "module_tree")
+    put(links, "batch_no long, l_file long, r_file long, cnt long", "file_links")
+    put(title, "id long, name string, title string", "task")
+    put([(1, "Red"), (2, "white"), (3, "green"), (4, "gone")], "term_id long, term string", "term_rank")
+    put([(1, 3, 1, 2), (1, 1, 2, 5), (1, 4, 1, 3)], "batch_no long, l_term long, r_term long, cnt long", "term_links")
+
+    name = lambda i: f"d/p{i}"
+    want = {k: (v, deg[k[0]], deg[k[1]], None) for k, v in com.items()}
+    k = tuple(sorted(map(name, met)))
+    want[k] = (*want[k][:3], 5)
+    for a, b, n in ((0, 20, 4), (0, 149, 7), (148, 149, 0)):
+        k = tuple(sorted((name(a), name(b))))
+        want[k] = (0, deg[k[0]], deg[k[1]], n)
+    rows = llm.queries["p4_files"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {(r.l_path, r.r_path): (r.common, r.n_l, r.n_r, r.stored_cnt) for r in rows} == want
+    for r in rows:
+        assert r.n_baskets == len(by) and r.log10_p <= 0 and r.log10_p - 1e-9 <= r.log10_q <= 0
+        if r.n_l and r.n_r:
+            assert abs(r.lift - r.common * len(by) / (r.n_l * r.n_r)) < 1e-9 and r.expected > 0
+        else:
+            assert r.lift is None and r.expected == 0 and r.log10_p == 0
+    got = {(r.l_term, r.r_term): (r.common, r.n_l, r.n_r, r.stored_cnt) for r in llm.queries["p4_terms"](spark, str(tmp_path)).collect()}
+    assert got == {
+        ("green", "red"): (2, 2, 2, 2), ("blue", "green"): (1, 2, 2, None), ("blue", "red"): (1, 2, 2, None), ("black", "blue"): (1, 1, 2, None), ("red", "white"): (0, 2, 1, 5), ("gone", "red"): (0, 0, 2, 3),
+    }
+
+
 def test_upper_tail():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -112,6 +112,13 @@ def _stored_links(links, left, right, names):
     return j.groupBy("sl", "sr").agg(F.sum("cnt").alias("stored_cnt"))
 
 
+def _beside_stored(inc, item, basket, stored):
+    """Every pair that meets at all or is stored, with its surprise and the stored count (null for none)."""
+    s = pairs.stage(stored, "stored")
+    p = pairs.cooccurrence(inc, item, basket, 1, also=s.select(F.col("sl").alias("l"), F.col("sr").alias("r")))
+    return p.join(s, (F.col("l") == F.col("sl")) & (F.col("r") == F.col("sr")), "left").drop("sl", "sr")
+
+
 @llm.query("p4_found", _PAIRS)
 def p4_found(spark, d):
     p = pairs.cooccurrence(_task_paths(spark, d), "path", "task", 5, 0.2, tails=False)
@@ -120,19 +127,17 @@ def p4_found(spark, d):
 
 @llm.query("p4_files")
 def p4_files(spark, d):
-    p = pairs.cooccurrence(_task_paths(spark, d), "path", "task", 5)
     tree = resolve_hierarchy(table(spark, d, "module_tree")).select(F.col("id").alias("nid"), F.col("path").alias("nm")).where("nm is not null")
     s = _stored_links(table(spark, d, "file_links"), "l_file", "r_file", tree)
-    return p.join(s, (F.col("l") == F.col("sl")) & (F.col("r") == F.col("sr")), "left").drop("sl", "sr").withColumnsRenamed({"l": "l_path", "r": "r_path"})
+    return _beside_stored(_task_paths(spark, d), "path", "task", s).withColumnsRenamed({"l": "l_path", "r": "r_path"})
 
 
 @llm.query("p4_terms")
 def p4_terms(spark, d):
     t = terms.one_per_record(table(spark, d, "task"), "name", "title").select(F.monotonically_increasing_id().alias("task"), terms.title_terms(F.col("v")).alias("ts"))
-    p = pairs.cooccurrence(pairs.stage(t.select("task", F.explode("ts").alias("term")), "title-terms"), "term", "task", 5)
     names = table(spark, d, "term_rank").select(F.col("term_id").alias("nid"), F.lower(F.trim("term")).alias("nm"))
     s = _stored_links(table(spark, d, "term_links"), "l_term", "r_term", names)
-    return p.join(s, (F.col("l") == F.col("sl")) & (F.col("r") == F.col("sr")), "left").drop("sl", "sr").withColumnsRenamed({"l": "l_term", "r": "r_term"})
+    return _beside_stored(pairs.stage(t.select("task", F.explode("ts").alias("term")), "title-terms"), "term", "task", s).withColumnsRenamed({"l": "l_term", "r": "r_term"})
 
 
 @llm.query("p9_found")
