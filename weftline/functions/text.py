@@ -31,6 +31,8 @@ STOP_WORDS = (
 #: Fixed value: identifiers of at least one letter.
 IDENTIFIER = r"\b[a-zA-Z]+[a-zA-Z0-9#_]*\b|\b[a-zA-Z0-9#_]*[a-zA-Z]+\b"
 EMPTY_TASK = "empty_task"
+#: A word's characters as Python's regular expressions have them: letters and numbers of any script and '_', no combining marks.
+_W = r"\p{L}\p{N}_"
 
 
 def extract_task_name(message: Column, mask: str = "bracketed") -> Column:
@@ -43,21 +45,22 @@ def extract_task_name(message: Column, mask: str = "bracketed") -> Column:
 
 def normalize_commit(message: Column, ascii: bool = False) -> Column:
     """the first line in lower case without brackets, noise words and punctuation, blanks collapsed; '' for null."""
-    u = "" if ascii else "(?U)"
+    u, w = ("", r"\w") if ascii else ("(?U)", _W)
+    noise = NOISE if ascii else rf"(?<![{w}]){NOISE[2:-2]}(?![{w}])"
     t = F.lower(F.substring_index(F.coalesce(message, F.lit("")), "\n", 1))
-    t = F.regexp_replace(F.regexp_replace(t, BRACKETS, " "), u + NOISE, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, u + r"[^\w\s]", " "), u + r"\s+", " "))
+    t = F.regexp_replace(F.regexp_replace(t, BRACKETS, " "), noise, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, u + rf"[^{w}\s]", " "), u + r"\s+", " "))
 
 
 def upper_split(text: Column, ascii: bool = False) -> Column:
     """upper case, split at non-word characters; empty tokens at either end stay."""
-    return F.split(F.upper(text), ("" if ascii else "(?U)") + r"\W+", -1)
+    return F.split(F.upper(text), r"\W+" if ascii else f"[^{_W}]+", -1)
 
 
 def tfidf_tokens(text: Column, ascii: bool = False) -> Column:
     """lower case; punctuation, digits and '_' to blanks; tokens of two characters or more that are no stop words. Nulls give no tokens."""
-    u = "" if ascii else "(?U)"
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), u + r"[^\w\s]|\d|_", " ")
+    u, w = ("", r"\w") if ascii else ("(?U)", _W)
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), u + rf"[^{w}\s]|\d|_", " ")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.filter(F.split(t, u + r"\s+"), lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
 

@@ -253,6 +253,11 @@ def _(spark, d):
     return m.select("id", X.normalize_commit(F.col("message"), ascii=True).alias("text"))
 
 
+@Q("F03_normalize_commit_all")
+def _(spark, d):
+    return raw(spark, d).select("id", X.normalize_commit(F.col("message")).alias("text"))
+
+
 @Q("F12_html_clean", r"SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&nbsp;', ' '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS text FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.html_clean(F.col("text")).alias("text"))
