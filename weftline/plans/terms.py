@@ -13,8 +13,8 @@ _TOK_LIST = "SELECT id, regexp_split_to_array(upper(replace(concat_ws(' ', coale
 _TOK = f"SELECT id, unnest(ts) AS token FROM ({_TOK_LIST})"
 
 
-def _tokens(spark, d):
-    return tickets(spark, d).select("id", X.upper_split(X.concat_fields(F.col("title"), F.col("description"), F.col("comments")), ascii=True).alias("ts"))
+def _tokens(spark, d, ascii=True):
+    return tickets(spark, d).select("id", X.upper_split(X.concat_fields(F.col("title"), F.col("description"), F.col("comments")), ascii=ascii).alias("ts"))
 
 
 @Q("A01_token_dictionary", ctes("t", more=f"k AS ({_TOK})") + "SELECT DISTINCT token FROM k")
@@ -43,6 +43,32 @@ def _(spark, d):
     return _tokens(spark, d).select("id", F.array_join(F.sort_array("ts"), ",").alias("tokens"))
 
 
+# The same over the words of all scripts; the five above split as plain regular expressions do.
+@Q("A01_token_dictionary_all")
+def _(spark, d):
+    return _tokens(spark, d, False).select(F.explode("ts").alias("token")).distinct()
+
+
+@Q("A02_token_bigrams_all")
+def _(spark, d):
+    return O.bigrams(_tokens(spark, d, False), "id", "ts").groupBy("prev", "cur").agg(F.count("*").alias("cnt"))
+
+
+@Q("A03_frequent_tokens_all")
+def _(spark, d):
+    return _tokens(spark, d, False).select(F.explode("ts").alias("token")).groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 100")
+
+
+@Q("A08_token_document_frequency_all")
+def _(spark, d):
+    return _tokens(spark, d, False).select(F.explode(F.array_distinct("ts")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
+@Q("A09_tokens_of_task_all")
+def _(spark, d):
+    return _tokens(spark, d, False).select("id", F.array_join(F.sort_array("ts"), ",").alias("tokens"))
+
+
 @Q(
     "A04_module_tfidf",
     ctes("tt", "tm", more="j AS (SELECT module, term, sum(cnt) AS c FROM tt JOIN tm ON tt.name = tm.task_name GROUP BY ALL), m AS (SELECT count(DISTINCT module) AS m FROM tm), s AS (SELECT module, sum(c) AS size FROM j GROUP BY 1), f AS (SELECT term, count(*) AS df FROM j GROUP BY 1)")
@@ -231,6 +257,11 @@ def _(spark, d):
     return tickets(spark, d).select("id", X.tfidf_tokens(F.col("description"), ascii=True).alias("tokens"))
 
 
+@Q("F07_tfidf_tokens_all")
+def _(spark, d):
+    return tickets(spark, d).select("id", X.tfidf_tokens(F.col("description")).alias("tokens"))
+
+
 @Q("F11_vocabulary_filter", ctes("w", more="v AS (SELECT term FROM w GROUP BY term HAVING count(DISTINCT id) >= 3)") + "SELECT id, term, count(*) AS cnt FROM w SEMI JOIN v USING (term) GROUP BY ALL")
 def _(spark, d):
     w = title_words(spark, d)
