@@ -236,3 +236,23 @@ def test_analysis(spark):
     assert rows(analysis.wins(d, "project", ["model"], "v").select("model", "wins")) == [("a", 1), ("b", 1)]
     r = analysis.paired(d, ["project"], "model", "a", "b", "v").first()
     assert (r.pairs, r.mean_diff, r.win_share) == (2, -0.5, 0.5)
+
+
+def test_rotation_of_whole_vectors(spark, tmp_path):
+    import numpy as np
+
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(4)
+    v = {f"T-{i}": rng.standard_normal(64).astype(np.float32) for i in range(90)}
+    inc = {(t, f"m{k}") for t in v for k in rng.choice(8, 3)}
+    raw = [(i, t, f"{m}/f") for i, (t, m) in enumerate(sorted(inc))]
+    spark.createDataFrame([(i, "s", None, None, p, None, t) for i, t, p in raw], "id long, sha string, cmt_date string, message string, path string, diff string, task_name string").write.parquet(f"{tmp_path}/rawdata.parquet")
+    spark.createDataFrame([(i, t, "task", x.tolist()) for i, (t, x) in enumerate(v.items())], "id long, path string, type string, vector array<float>").write.parquet(f"{tmp_path}/vec_collection.parquet")
+    got = {r.row: r.v for r in entry.queries()["X35_procrustes"](spark, str(tmp_path)).collect()}
+    w = np.array([got[i] for i in range(64)])
+    assert w.shape == (64, 64) and np.allclose(w @ w.T, np.eye(64), atol=1e-8)
+    mean = {m: np.mean([v[t].astype(float) for t, n in inc if n == m], axis=0) for m in {m for _, m in inc}}
+    # with few centroids the rotation isn't unique, its trace against the outer products is: their nuclear norm
+    cross = sum(np.outer(v[t].astype(float), mean[m]) for t, m in inc)
+    assert abs(np.trace(w.T @ cross) - np.linalg.svd(cross, compute_uv=False).sum()) < 1e-6

@@ -69,7 +69,21 @@ def projection(df: DataFrame, id: str, vector: str, k: int = 2) -> DataFrame:
 
 
 def procrustes(pairs: DataFrame, a: str, b: str, dim: int) -> np.ndarray:
-    """The rotation that takes a closest to b: U V' of the SVD of the d x d sum of outer products, which is added up in Spark."""
-    m = pairs.select(*[F.sum(F.col(a)[i].cast("double") * F.col(b)[j].cast("double")).alias(f"c_{i}_{j}") for i in range(dim) for j in range(dim)]).first()
-    u, _, vt = np.linalg.svd(np.array([[m[f"c_{i}_{j}"] or 0.0 for j in range(dim)] for i in range(dim)]))
+    """The rotation that takes a closest to b: U V' of the SVD of the d x d sum of outer products. Each partition adds up its own
+    and gives d rows, which are added up in Spark. Pairs with a null side are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.zeros((dim, dim))
+        for x in batches:
+            if len(x):
+                m += np.stack(x["a"].to_numpy()).T @ np.stack(x["b"].to_numpy())
+        yield pd.DataFrame(m, columns=cols).assign(i=np.arange(dim))
+
+    cols = [f"c_{j}" for j in range(dim)]
+    ab = pairs.select(*[F.slice(F.col(c).cast("array<double>"), 1, dim).alias(k) for c, k in ((a, "a"), (b, "b"))]).where("a is not null and b is not null")
+    rows = ab.mapInPandas(run, ", ".join(f"{c} double" for c in cols) + ", i long").groupBy("i").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+    m = np.zeros((dim, dim))
+    for r in rows:
+        m[r.i] = [r[c] for c in cols]
+    u, _, vt = np.linalg.svd(m)
     return u @ vt

@@ -230,15 +230,15 @@ def _(spark, d):
 
 @Q("X35_procrustes")
 def _(spark, d):
-    # how well a rotation takes a task's vector to the centroid of its modules
+    # the rotation that takes the tasks' vectors closest to the centroids of their modules, each task with each of its modules once
     from weftline.operators.embed import procrustes
     from weftline.plans.retrieval import centroids, joined_vectors
 
     j = stage(joined_vectors(spark, d), "joined")
     c = centroids(j, "module").withColumnRenamed("v", "c")
-    p = j.groupBy("task_name").agg(F.min("module").alias("module"), F.min("v").alias("v")).join(c, "module")
-    w = procrustes(p, "v", "c", 16)
-    rows = [(i, [float(x) for x in w[i]]) for i in range(16)]
+    p = j.groupBy("task_name", "module").agg(F.min("v").alias("v")).join(c, "module")
+    w = procrustes(p, "v", "c", DIM)
+    rows = [(i, [float(x) for x in w[i]]) for i in range(DIM)]
     return spark.createDataFrame(rows, "row int, v array<double>")
 
 
