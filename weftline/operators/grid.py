@@ -39,12 +39,8 @@ def evaluate(v: DataFrame, vectors: DataFrame, targets: DataFrame, key: str, dim
     c = tr.groupBy("split", "win", "target", "path").agg(*mean_columns("v", dim)).select("split", "win", "target", "path", pack(dim).alias("v"))
     kinds = targets.select("target").distinct()
     q = v.where("side = 'test'").join(vectors, key).join(F.broadcast(kinds))
-    sides = c.select("split", "win", "target").distinct().collect()  # a row for each variant
-    per = None
-    for r in sides:
-        pick = (F.col("split") == r["split"]) & (F.col("win") == r.win) & (F.col("target") == r.target)
-        t = top_k(q.where(pick).select(name(key).alias("query_id"), "v"), c.where(pick).select("path", "v"), k)
-        per = t if per is None else per.unionByName(t)
+    variant = F.concat_ws("\x1f", "split", "win", "target")
+    per = top_k(q.select(name(key).alias("query_id"), "v", variant.alias("variant")), c.select("path", "v", variant.alias("variant")), k, by="variant")
     rel = q.select(key, "split", "win", "target", name(key).alias("query_id")).join(targets.select(key, "target", "path").distinct(), [key, "target"]).select("query_id", "path")
     m = metrics.per_query(q.select(name(key).alias("query_id")), per, rel, depth=k)
     p = F.split("query_id", "\x1f")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranking import RANGE, cut_points, range_of
+
 KS = (1, 3, 5, 10)
 
 
@@ -37,18 +39,23 @@ def mean_metrics(per: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per.groupBy(*(by or [])).agg(F.count("*").alias("queries"), *[F.avg(c).alias({"ap": "map", "rr": "mrr"}.get(c, c)) for c in cols])
 
 
-def summary(df: DataFrame, value: str, by: list[str] | None = None, buckets: int = 2048) -> DataFrame:
+def summary(df: DataFrame, value: str, by: list[str] | None = None, per: int = RANGE) -> DataFrame:
     """(n, min, max, mean, median, q1, q3, std): q1 and q3 are the elements n div 4 and 3 n div 4 of the sorted values (0-based; min and max below
     four values), std is the sample's, 0 for one value.
 
-    Values are counted first, and only distinct ones are ordered, a group's running count giving the elements; a group of
-    more than a few million distinct values would want range partitions instead.
+    Values are counted first. Distinct ones are dealt to ranges by fixed cut points; the ranges' sums, carried on, give where each
+    range begins among a group's sorted values, so running counts are taken within a range only.
     """
     g = by or []
     v = df.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).alias("x")).agg(F.count("*").alias("c"))
-    run = v.withColumn("hi", F.sum("c").over(Window.partitionBy(*g).orderBy("x")))
-    n = F.sum("c").over(Window.partitionBy(*g))
-    run = run.withColumn("n", n)
+    v = v.withColumn("_p", range_of(F.col("x"), cut_points(v, "x", per), v.schema["x"].dataType.simpleString()))
+    sums = v.groupBy(*g, "_p").agg(F.sum("c").alias("s"))
+    before = F.sum("s").over(Window.partitionBy(*g).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    off = sums.select(*[F.col(c).alias(f"o_{c}") for c in g], F.col("_p").alias("o_p"), F.coalesce(before, F.lit(0)).alias("lo"), F.sum("s").over(Window.partitionBy(*g)).alias("n"))
+    on = F.col("_p") == F.col("o_p")
+    for c in g:
+        on = on & F.col(c).eqNullSafe(F.col(f"o_{c}"))
+    run = v.withColumn("hi", F.sum("c").over(Window.partitionBy(*g, "_p").orderBy("x"))).join(off if g else F.broadcast(off), on).withColumn("hi", F.col("hi") + F.col("lo"))
     at = lambda i: F.min(F.when(F.col("hi") > i, F.col("x")))
     a = run.groupBy(*g).agg(
         F.max("n").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"),

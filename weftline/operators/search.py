@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.vectors import cosine, euclidean, manhattan
+from weftline.runtime import stage
 
 #: Queries that one task compares with its share of the collection.
 BLOCK = 4096
@@ -28,19 +29,22 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return -np.stack([np.abs(v - x).sum(1) for x in q]) if len(q) else np.zeros((0, len(v)))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", qid: str = "query_id", path: str = "path", vector: str = "v") -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", qid: str = "query_id", path: str = "path", vector: str = "v", by: str | None = None) -> DataFrame:
     """(query_id, path, score, rank) of each query's k best items, ties by path. score is the similarity for cosine, the distance otherwise.
 
     A stated set of queries meets all items in blocks: query blocks are sent once to each share of the items, every share keeps k
-    for each query, and only those are ranked. No pair leaves its task. Vectors of other lengths than the query's are skipped.
+    for each query, and only those are ranked. No pair leaves its task. Vectors of other lengths than the query's are skipped. With `by`, a column
+    of both sides, queries meet only items of the same value (query_id stays unique over all), in the same exchanges.
     """
     spark = items.sparkSession
     shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    q = queries.select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    group = (lambda d: F.col(by).cast("string")) if by else (lambda d: F.lit(""))
+    # staged, since its size is asked for before it is used
+    q = stage(queries.select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("v"), group(queries).alias("g")), "queries")
+    blocks = max(1, -(-q.count() // BLOCK))
+    q = q.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
     q = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    i = items.select(F.col(path).alias("path"), F.col(vector).cast("array<double>").alias("v")).withColumn("s", F.pmod(F.xxhash64("path"), F.lit(shares)).cast("int"))
+    i = items.select(F.col(path).alias("path"), F.col(vector).cast("array<double>").alias("v"), group(items).alias("g")).withColumn("s", F.pmod(F.xxhash64("path"), F.lit(shares)).cast("int"))
     i = i.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     kind = queries.schema[qid].dataType.simpleString()
 
@@ -59,7 +63,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
                 out.append(pd.DataFrame({"query_id": np.repeat(x.qid.to_numpy()[z : z + 256], o.shape[1]), "path": names[o].reshape(-1), "score": t.reshape(-1)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype=object), "path": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
 
-    got = q.groupBy("s", "b").cogroup(i.groupBy("s", "b")).applyInPandas(run, f"query_id {kind}, path string, score double")
+    got = q.groupBy("g", "s", "b").cogroup(i.groupBy("g", "s", "b")).applyInPandas(run, f"query_id {kind}, path string, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path"))
     sign = F.col("score") if metric == "cosine" else -F.col("score")
     return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "path", sign.alias("score"), "rank")

@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranking import RANGE, ordered_rank
 
-def ordinal(df: DataFrame, order: str, out: str = "rn", parts: int = 64) -> DataFrame:
-    """1-based position by order (unique), without one task that holds all rows.
 
-    Rows are range-partitioned; partition sizes (a row for each of `parts`) give the offsets, so only partitions are ordered.
-    """
-    r = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
-    sizes = r.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    off = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
-    rn = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return r.withColumn("_r", rn).join(F.broadcast(off), "_p").withColumn(out, F.col("_r") + F.col("_o")).drop("_p", "_r", "_o")
+def ordinal(df: DataFrame, order: str, out: str = "rn", per: int = RANGE) -> DataFrame:
+    """1-based position by order (unique, nulls first), without one task that holds all rows."""
+    return ordered_rank(df, [], order, out, per=per)
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """ordinal plus n, the number of rows."""
-    n = df.agg(F.count("*").alias("n"))
-    return ordinal(df, order).join(F.broadcast(n))
+    return ordered_rank(df, [], order, "rn", "n")
 
 
 def in_test(strategy: str, k: int) -> Column:
@@ -65,18 +58,24 @@ def last_n(df: DataFrame, order: str, n: int | None) -> DataFrame:
     return df if n is None else df.orderBy(F.col(order).desc()).limit(n)
 
 
-def commit_tasks(raw: DataFrame, max_files: int = 50, min_subject: int = 8, max_diff: int = 4000, when: Column | None = None) -> DataFrame:
+def commit_tasks(raw: DataFrame, max_files: int = 50, min_subject: int = 8, max_diff: int = 4000, when: Column | None = None, salts: int = 64) -> DataFrame:
     """One task per commit that is no merge, touches at most max_files paths and has a subject of min_subject characters:
     (sha, title, description, diff, files, ts). Title is the first line of the first message (by id) that is not null; diffs
-    are joined by lines in order of id, nulls as empty, cut to max_diff characters. Only as many diffs of a commit are gathered as
-    it may have paths, commits with more being out.
+    are joined by lines in order of id, nulls as empty, cut to max_diff characters.
+
+    A commit may have any number of rows (one for each path, ticket and repetition). Only rows that can reach into the first max_diff characters
+    are gathered: running lengths tell them, first within salts of the commit by id, so that no task sees all rows of a hot commit, then over
+    what is left of all salts (max_diff + 1 rows of each at most).
     """
     ts = F.try_to_timestamp(F.col("cmt_date")) if when is None else when
     r = raw.where("sha is not null and sha <> ''")
     per = r.groupBy("sha").agg(F.countDistinct("path").alias("files"), F.min_by("message", F.when(F.col("message").isNotNull(), F.col("id"))).alias("description"), F.min(ts).alias("ts"))
     title = F.substring_index("description", "\n", 1)
     ok = per.withColumn("title", title).where((F.col("files") <= max_files) & ~F.lower("title").startswith("merge ") & (F.length(F.trim("title")) >= min_subject))
-    d = r.join(ok.select("sha"), "sha", "left_semi").select("sha", "id", F.substring(F.coalesce("diff", F.lit("")), 1, max_diff).alias("diff"))
-    joined = d.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("id", "diff"))).alias("a"))
+    d = r.select("sha", "id", F.substring(F.coalesce("diff", F.lit("")), 1, max_diff).alias("diff"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    for key in (["sha", "salt"], ["sha"]):
+        before = F.sum(F.length("diff") + 1).over(Window.partitionBy(*key).orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("at", before).where(F.col("at").isNull() | (F.col("at") < max_diff)).drop("at")
+    joined = d.join(ok.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("id", "diff"))).alias("a"))
     text = F.substring(F.array_join(F.transform("a", lambda x: x["diff"]), "\n"), 1, max_diff)
     return ok.join(joined.select("sha", text.alias("diff")), "sha", "left").select("sha", "title", "description", "diff", "files", "ts")

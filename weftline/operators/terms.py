@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranking import ordered_rank
+from weftline.runtime import stage
+
 
 def bigrams(tokens: DataFrame, doc: str, array: str) -> DataFrame:
     """(doc, pos, prev, cur) of every token of an array, prev null for the first. Arrays stay in one row, so no window is needed."""
@@ -72,7 +74,8 @@ def bradford_zones(totals: DataFrame, term: str, total: str, zones: int = 4) ->
     """(term, total, zone): terms by falling total fill a zone until its own sum reaches a `zones`-th of all; the excess is dropped.
 
     The running sum needs one order over the vocabulary, which is counted by total first: there are at most the square root
-    of twice the occurrences of distinct totals, and the boundary of a zone inside a run of equal totals follows from its rank.
+    of twice the occurrences of distinct totals, and the boundary of a zone inside a run of equal totals (at most zones - 1 of them) follows
+    from its rank. Ranks of such a run are taken in ranges of its terms, so a run of half the vocabulary is in no single task.
     """
     runs = totals.groupBy(F.col(total).alias("x")).agg(F.count("*").alias("n")).orderBy(F.col("x").desc()).collect()
     target = sum(r.x * r.n for r in runs) / zones
@@ -89,65 +92,85 @@ def bradford_zones(totals: DataFrame, term: str, total: str, zones: int = 4) ->
             at += k
             if zone < zones and have >= target:
                 zone, have = zone + 1, 0
-    spark = totals.sparkSession
-    kind = totals.schema[total].dataType.simpleString()
-    cuts = spark.createDataFrame(plan, f"x {kind}, lo long, hi long, zone int")
-    w = Window.partitionBy(total).orderBy(term)
-    # only totals that a boundary falls into need ranks; the others are a plain join
-    split = cuts.groupBy("x").agg(F.count("*").alias("k")).where("k > 1").select("x")
-    inner = totals.join(F.broadcast(split), totals[total] == F.col("x"), "left_semi").withColumn("rk", F.row_number().over(w) - 1)
-    outer = totals.join(F.broadcast(split), totals[total] == F.col("x"), "left_anti").withColumn("rk", F.lit(0))
-    j = inner.unionByName(outer).join(F.broadcast(cuts), (F.col(total) == F.col("x")) & (F.col("rk") >= F.col("lo")) & (F.col("rk") < F.col("hi")))
-    return j.select(term, total, "zone")
-
-
-def unordered_links(pairs: DataFrame, group: str, item: str, hot: int = 2000) -> DataFrame:
-    """(l, r, cnt): in how many groups two items stand together, l < r.
-
-    Groups are gathered into sorted arrays and paired inside a row, counts being added up before the shuffle. A group with more
-    than `hot` items is cut into tiles of its items, so that no task lists all of its pairs.
+    # zones fall with the total: outside the divided runs, the greatest total of each zone tells it
+    parts = Counter(x for x, *_ in plan)
+    inside = [x for x, k in parts.items() if k > 1]
+    top = [max(x for x, *_, z in plan if z == k) for k in sorted({z for *_, z in plan})]
+    plain = F.lit(1)
+    for k, x in zip(sorted({z for *_, z in plan}), top):
+        plain = F.when(F.col(total) <= x, F.lit(k)).otherwise(plain)
+    outer = totals.where(~F.col(total).isin(inside)) if inside else totals
+    out = outer.select(term, total, plain.cast("int").alias("zone"))
+    if inside:
+        rk = ordered_rank(totals.where(F.col(total).isin(inside)), [total], term, "_rk")
+        z = F.lit(None).cast("int")
+        for x, lo, hi, k in plan:
+            if x in inside:
+                z = F.when((F.col(total) == x) & (F.col("_rk") > lo) & (F.col("_rk") <= hi), F.lit(k)).otherwise(z)
+        out = out.unionByName(rk.select(term, total, z.alias("zone")))
+    return out
+
+
+def pairs_in_groups(d: DataFrame, hot: int, loops: bool = False) -> DataFrame:
+    """(l, r) of every two different items of a group of d (g, i), l < r, and of each item with itself with loops; d is distinct.
+
+    A group of at most `hot` items is one array whose items are paired one by one, so no list of its pairs is built. A larger one is cut into
+    tiles by hash; every two of its tiles are a task's work of their own, to which each item goes once for each tile.
     """
-    d = pairs.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null").distinct()
     size = d.groupBy("g").agg(F.count("*").alias("n"))
     big = size.where(F.col("n") > hot)  # their number grows with the data, so Spark chooses the join by its size
     light = d.join(big, "g", "left_anti").groupBy("g").agg(F.sort_array(F.collect_list("i")).alias("a"))
-    two = light.where(F.size("a") > 1).select(
-        F.explode(F.expr("flatten(transform(sequence(1, size(a) - 1), k -> transform(slice(a, k + 1, size(a)), y -> struct(element_at(a, k) as l, y as r))))")).alias("p")
-    ).select("p.l", "p.r")
-    tiles = d.join(big, "g").withColumn("t", F.pmod(F.xxhash64("i"), F.ceil(F.col("n") / hot)))
-    left = tiles.groupBy("g", "t").agg(F.collect_list("i").alias("a"))
-    heavy = tiles.select("g", "i").join(left, "g").select(F.col("i").alias("l"), F.explode("a").alias("r")).where("l < r")
-    return two.unionByName(heavy).groupBy("l", "r").agg(F.count("*").alias("cnt"))
-
-
-def token_pairs(counts: DataFrame, doc: str, token: str, cnt: str) -> DataFrame:
-    """(a, b, cnt) of all pairs of positions in a document, a <= b: products of counts, and n (n - 1) / 2 for equal tokens."""
-    d = counts.select(doc, F.col(token).alias("tok"), F.col(cnt).alias("c"))
-    g = d.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("tok", "c"))).alias("a"))
-    e = g.select(
-        F.explode(F.expr("flatten(transform(sequence(1, size(a)), k -> transform(slice(a, k, size(a)), y -> struct(element_at(a, k).tok as a, y.tok as b, if(y.tok = element_at(a, k).tok, y.c * (y.c - 1) div 2, y.c * element_at(a, k).c) as n))))")).alias("p")
-    )
-    return e.select("p.a", "p.b", "p.n").where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("cnt"))
+    one = light.select("a", F.posexplode("a").alias("k", "l"))
+    two = one.select("l", F.explode(F.slice("a", F.col("k") + (1 if loops else 2), F.size("a"))).alias("r"))
+    t = d.join(big, "g").withColumn("m", F.ceil(F.col("n") / hot).cast("int")).withColumn("t", F.pmod(F.xxhash64("i"), F.col("m")).cast("int"))
+    t = t.select("g", "i", "t", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("u"))
+    tiles = t.select("g", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q"), "t", "i").groupBy("g", "p", "q")
+    own = lambda c: F.collect_list(F.when(F.col("t") == F.col(c), F.col("i")))
+    x = tiles.agg(own("p").alias("a"), own("q").alias("b")).select(F.explode("a").alias("x"), "b", (F.col("p") == F.col("q")).alias("same"))
+    x = x.select("x", F.explode("b").alias("y"), "same")
+    ok = (F.col("x") < F.col("y")) | ~F.col("same")
+    heavy = x.where(ok | (F.col("x") == F.col("y")) if loops else ok).select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r"))
+    return two.unionByName(heavy)
+
+
+def unordered_links(pairs: DataFrame, group: str, item: str, hot: int = 1000) -> DataFrame:
+    """(l, r, cnt): in how many groups two items stand together, l < r. Null groups and items tie nothing."""
+    d = pairs.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null").distinct()
+    return pairs_in_groups(d, hot).groupBy("l", "r").agg(F.count("*").alias("cnt"))
+
+
+def token_pairs(counts: DataFrame, doc: str, token: str, cnt: str, hot: int = 1000) -> DataFrame:
+    """(a, b, cnt) of all pairs of positions in a document, a <= b: products of counts, and n (n - 1) / 2 for equal tokens.
+
+    counts has a row for each document and token. Products are added up before the shuffle.
+    """
+    d = counts.select(F.col(doc).alias("g"), F.struct(F.col(token).alias("tok"), F.col(cnt).alias("c")).alias("i")).where("g is not null and i.tok is not null").distinct()
+    p = pairs_in_groups(d, hot, True)
+    same = F.col("l.tok") == F.col("r.tok")
+    n = F.when(same, F.expr("l.c * (l.c - 1) div 2")).otherwise(F.col("l.c") * F.col("r.c"))
+    return p.select(F.col("l.tok").alias("a"), F.col("r.tok").alias("b"), n.alias("n")).where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("cnt"))
 
 
-def greedy_pairs(pairs: DataFrame, df: DataFrame) -> DataFrame:
+def greedy_pairs(pairs: DataFrame, df: DataFrame, max_rounds: int = 200) -> DataFrame:
     """A10: pairs (a, b, cnt) by falling count, ties by a and b, each token used once, count above both document frequencies.
 
-    Only pairs that pass the frequency test are looked at in order, by one task; they are few, since a pair must
-    occur more often than either token has documents.
+    A pair that is the first of both its tokens is taken by the sequence whatever else is. So each round takes all of them at once,
+    drops the pairs of their tokens, and goes on with the rest: the sequence's result without its one task. Pairs of a token
+    with itself use it twice, so they are taken only if nothing better uses it.
     """
     x = df.select(F.col("token").alias("a"), F.col("df").alias("da"))
     y = df.select(F.col("token").alias("b"), F.col("df").alias("db"))
-    p = pairs.join(x, "a", "left").join(y, "b", "left").where("cnt > coalesce(da, 0) and cnt > coalesce(db, 0)").select("a", "b", "cnt")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used: set[str] = set()
-        for b in batches:
-            keep = []
-            for i, (s, t) in enumerate(zip(b.a, b.b)):
-                if s not in used and t not in used:
-                    used.update((s, t))
-                    keep.append(i)
-            yield b.iloc[keep]
-
-    return p.orderBy(F.col("cnt").desc(), "a", "b").coalesce(1).mapInPandas(run, p.schema)
+    left = stage(pairs.join(x, "a", "left").join(y, "b", "left").where("cnt > coalesce(da, 0) and cnt > coalesce(db, 0)").select("a", "b", "cnt"), "left")
+    out = left.limit(0)
+    for _ in range(max_rounds):
+        key = F.struct((-F.col("cnt")).alias("n"), "a", "b")
+        ends = left.select(F.col("a").alias("t"), key.alias("k")).union(left.select(F.col("b").alias("t"), key.alias("k")))
+        first = ends.groupBy("t").agg(F.min("k").alias("k"))
+        win = first.groupBy("k").agg(F.count("*").alias("n"), F.min("t").alias("t")).where("n = 2 or k.a = k.b")
+        win = stage(win.select("k.a", "k.b", (-F.col("k.n")).alias("cnt")), "taken")
+        if win.isEmpty():
+            return out
+        used = win.select(F.col("a").alias("t")).union(win.select(F.col("b").alias("t"))).distinct()
+        out = out.unionByName(win)
+        left = stage(left.join(used, left.a == used.t, "left_anti").join(used, F.col("b") == used.t, "left_anti"), "left")
+    raise RuntimeError("greedy pairs did not settle")

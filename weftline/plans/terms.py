@@ -174,11 +174,9 @@ def _(spark, d):
     return O.unordered_links(title_term_counts(spark, d), "id", "term")
 
 
-@Q("A14_file_links", ctes("f", more="s AS (SELECT task_name FROM f GROUP BY task_name HAVING count(*) <= 20), g AS (SELECT * FROM f SEMI JOIN s USING (task_name))") + "SELECT a.file AS l, b.file AS r, count(*) AS cnt FROM g a JOIN g b ON a.task_name = b.task_name AND a.file < b.file GROUP BY ALL")
+@Q("A14_file_links", ctes("f") + "SELECT a.file AS l, b.file AS r, count(*) AS cnt FROM f a JOIN f b ON a.task_name = b.task_name AND a.file < b.file GROUP BY ALL")
 def _(spark, d):
-    f = task_files(spark, d)
-    few = f.groupBy("task_name").agg(F.count("*").alias("n")).where("n <= 20").select("task_name")
-    return O.unordered_links(f.join(few, "task_name", "left_semi"), "task_name", "file")
+    return O.unordered_links(task_files(spark, d), "task_name", "file")
 
 
 @Q("A20_module_cooccurrence", ctes("tm", more="g AS (SELECT * FROM tm WHERE module <> '')") + "SELECT a.module AS l, b.module AS r, count(*) AS cnt FROM g a JOIN g b ON a.task_name = b.task_name AND a.module < b.module GROUP BY ALL")
