@@ -111,5 +111,14 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     return df.repartition(n, *[F.col(k) for k in keys])
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """df for a stage that is heavy per row: as it is, unless a scan has fewer splits than the cluster has cores; then its rows are dealt
+    round robin. So large inputs are never shuffled for a map-only operator (spark.sql.files.maxPartitionBytes sets the size of their splits)."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    n = cores(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
