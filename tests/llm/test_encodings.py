@@ -72,3 +72,26 @@ def test_repair(spark):
     assert got[lost + 1].damaged and got[lost + 1].text == "tamaño de la mañana"
     assert [got[lost + k].damaged for k in (2, 3, 4, 5, 6)] == [False] * 5 and got[lost + 3].text is None and got[lost + 4].text == ""
     assert E.repair(df.limit(0)).collect() == []
+
+
+def test_restore_leaves_escapes_of_other_runs():
+    c = E._Chain("utf8", "cp1252", 1)
+    assert E.restore("GET /find?q=caf%C3%A9 &amp; tamaÃ±o ma&#195;&#177;ana &#65; \\u00e9t\\u00e9", c) == "GET /find?q=caf%C3%A9 &amp; tamaño mañana &#65; \\u00e9t\\u00e9"
+
+
+def test_possible_chains_leave_none_out():
+    words = [damage(w, "utf-8", x) for s in SENTENCES.values() for t in s for w in E.signature(t).split(" ") if w for x in ("cp1252", "cp437", "mac_roman")]
+    words += [w for s in SENTENCES.values() for t in s for w in E.signature(t).split(" ") if w] + ["ROŸHÔR", "陆", "ÄãºÃ"]
+    for w in words:
+        assert {i for i, c in enumerate(E.chains()) if i and c.undo(w) != w} <= set(E._possible(w)), w
+
+
+def test_names_without_other_evidence_stay(spark):
+    # each could be two bytes of a character that stands nowhere else
+    names = ["ROŸHÔR", "DUŐŞ", "NOÏDU", "BAZOÖŒ", "INTÔVR HEËŠ", "ØAÅU"]
+    rows = [(i, f"Ticket of {n}, see below. {t}", f"s{i % 40}", "issue") for i, (n, t) in enumerate((n, t) for n in names for s in SENTENCES.values() for t in s)]
+    rows += [(1000 + i, t, f"s{i % 40}", None) for i, t in enumerate(t for _ in range(9) for s in SENTENCES.values() for t in s)]
+    bad = [(5000 + i, damage(t, "utf-8", "cp1252"), f"s{i % 40}", None) for i, t in enumerate(SENTENCES["fr"] + SENTENCES["de"])]
+    got = {r.doc_id: r for r in E.repair(spark.createDataFrame(rows + bad, "doc_id long, text string, source string, kind string")).collect()}
+    assert {k for k, r in got.items() if r.damaged} == {b[0] for b in bad}
+    assert [got[b[0]].text for b in bad] == SENTENCES["fr"] + SENTENCES["de"]
