@@ -124,7 +124,7 @@ def test_last_seen_counters_flush(monkeypatch):
     assert total == Counter(w for r in recs for w in r or []) and cnt == Counter(w for r in recs for w in set(r or [])) and n == sum(1 for r in recs if r)
 
 
-def test_pairs(spark):
+def test_pairs(spark, monkeypatch):
     rng = random.Random(5)
     inc = [(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), f"p{rng.randrange(30)}") for _ in range(500)] + [(f"hot{h}", f"p{i}") for h in range(6) for i in range(25)] + [("A", None), (None, "p1"), ("A", "p1"), ("A", "p1")]
     df = spark.createDataFrame([(a, b, 1) for a, b in inc], "task string, path string, iid int")
@@ -136,10 +136,12 @@ def test_pairs(spark):
     for s in by.values():
         deg.update(s)
         com.update(itertools.combinations(sorted(s), 2))
-    p, items = pairs.count_pairs(df, "path", "task", 5, heavy=8)  # nearly every basket is heavy
-    name = {r.iid: r.item for r in items.collect()}
-    got = {tuple(sorted((name[r.l], name[r.r]))): r.common for r in p.collect()}
-    assert got == {k: v for k, v in com.items() if v >= 5}
+    for chunk in (4096, 2):  # with short lists, counting goes by their pieces
+        monkeypatch.setattr(pairs, "CHUNK", chunk)
+        c = pairs.count_pairs(df, "path", "task", 5, heavy=8)  # nearly every basket is heavy
+        name = {r.iid: r.item for r in c.items.collect()}
+        got = {tuple(sorted((name[r.l], name[r.r]))): r.common for r in c.pairs.collect()}
+        assert got == {k: v for k, v in com.items() if v >= 5}
     r = pairs.cooccurrence(df, "path", "task", 5).collect()
     assert {(x.l, x.r): (x.common, x.n_l, x.n_r, x.n_baskets) for x in r} == {k: (v, deg[k[0]], deg[k[1]], len(by)) for k, v in com.items() if v >= 5}
     assert all(x.log10_p <= 0 and x.log10_q <= 0 and x.log10_q >= x.log10_p - 1e-9 for x in r)
@@ -177,7 +179,18 @@ def test_reports_hold_every_pair(spark, tmp_path):
         k = tuple(sorted((name(a), name(b))))
         want[k] = (0, deg[k[0]], deg[k[1]], n)
     rows = llm.queries["p4_files"](spark, str(tmp_path)).collect()
-    assert len(rows) == len(want) and {(r.l_path, r.r_path): (r.common, r.n_l, r.n_r, r.stored_cnt) for r in rows} == want
+    listed = {(r.l_path, r.r_path): (r.common, r.n_l, r.n_r, r.stored_cnt) for r in rows}
+    assert len(rows) == len(listed)
+    # two paths of a heavy task that are not listed meet there only
+    groups = defaultdict(dict)
+    for r in llm.queries["p4_file_groups"](spark, str(tmp_path)).collect():
+        groups[r.task_name][r.path] = r.n
+    assert {t: len(g) for t, g in groups.items()} == {"T-99": 126}
+    rest = {(a, b): (1, g[a], g[b], None) for g in groups.values() for a, b in itertools.combinations(sorted(g), 2) if (a, b) not in listed}
+    assert listed | rest == want and rest
+    once = {(r.n_l, r.n_r): r for r in llm.queries["p4_files_once"](spark, str(tmp_path)).collect()}
+    assert {k: r.pairs for k, r in once.items()} == Counter(tuple(sorted(v[1:3])) for v in rest.values())
+    assert all(abs(r.lift - len(by) / (a * b)) < 1e-9 and r.log10_p <= r.log10_q <= 0 for (a, b), r in once.items())
     for r in rows:
         assert r.n_baskets == len(by) and r.log10_p <= 0 and r.log10_p - 1e-9 <= r.log10_q <= 0
         if r.n_l and r.n_r:
@@ -190,6 +203,65 @@ def test_reports_hold_every_pair(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("heavy", [8, 1000])
+def test_surprise_is_over_all_pairs(spark, heavy):
+    rng = random.Random(heavy)
+    inc = {(f"t{rng.randrange(60)}", f"p{int(25 * rng.random() ** 2)}") for _ in range(260)} | {("hot", f"p{i}") for i in range(22)} | {("warm", f"p{i}") for i in range(9, 24)}
+    # two items of degree four that share all four baskets
+    inc |= {(f"t{k}", x) for k in (50, 51, 52, 53) for x in ("q1", "q2")}
+    by, deg, com = defaultdict(set), Counter(), Counter()
+    for t, p in inc:
+        by[t].add(p)
+    for g in by.values():
+        deg.update(g)
+        com.update(itertools.combinations(sorted(g), 2))
+    s = pairs.study(spark.createDataFrame(list(inc), "task string, path string"), "path", "task", heavy=heavy)
+    got, once = {(r.l, r.r): r for r in s.pairs.collect()}, {(r.n_l, r.n_r): r for r in s.once.collect()}
+    null = pairs.Null(sorted(Counter(deg.values()).items()), sorted(Counter(map(len, by.values())).items()))
+    q = {d: null.probabilities(np.array([d]))[0] for d in set(deg.values())}
+    assert all(abs((v * null.n).sum() / d - 1) < 1e-9 for d, v in q.items())
+    lp = {k: pairs.upper_tail(q[deg[k[0]]] * q[deg[k[1]]], null.n, com[k]) for k in itertools.combinations(sorted(deg), 2)}
+    order = sorted(lp, key=lp.get)
+    best, want = 0.0, {}
+    for i in reversed(range(len(order))):
+        best = min(best, lp[order[i]] + np.log10(len(order) / (i + 1)))
+        want[order[i]] = best
+    for k, c in com.items():
+        r = got.get(k) or once[tuple(sorted((deg[k[0]], deg[k[1]])))]
+        assert abs(r.log10_p - lp[k]) < 1e-6 and abs(r.log10_q - want[k]) < 3e-3, k
+        assert (c == 1 and any(len(g) > heavy and {*k} <= g for g in by.values())) if k not in got else got[k].common == c
+    assert len(got) + sum(r.pairs for r in once.values()) == len(com) and got["q1", "q2"].log10_q < 0 and bool(once) == (heavy == 8)
+    # given that pairs meet three times or more
+    r = pairs.cooccurrence(spark.createDataFrame(list(inc), "task string, path string"), "path", "task", 3).collect()
+    assert {(x.l, x.r) for x in r} == {k for k, c in com.items() if c >= 3}
+    for x in r:
+        p = q[x.n_l] * q[x.n_r]
+        assert abs(x.log10_p - min(0.0, pairs.upper_tail(p, null.n, x.common) - pairs.upper_tail(p, null.n, 3))) < 1e-6 and x.log10_p - 1e-9 <= x.log10_q <= 0
+
+
+def test_null_of_wide_tables():
+    # a million frequencies and sizes make some thousands of classes; items in every basket have probability 1
+    k = [(float(i), 3) for i in range(1, 1500)]
+    null = pairs.Null(k, [(float(i), 4) for i in range(1, 1400)] + [(4400.0, 5)])
+    d = np.array([1, 7, 900, 1499])
+    assert np.allclose(null.probabilities(d) @ null.n, d, rtol=1e-9)
+    one = pairs.Null([(2.0, 3)], [(3.0, 2)])
+    assert np.allclose(one.probabilities(np.array([2, 0])), [[1], [0]], atol=1e-6)
+
+
+def test_tails_of_many_rows():
+    rng = np.random.default_rng(2)
+    n = np.append(np.floor(9000 / np.arange(1, 40) ** 2) + 1, [3.0, 1.0, 1.0])
+    x, y = rng.random(30) ** 3 * 0.3, np.append(np.arange(1, 40) / 90, [0.7, 0.9, 0.99])
+    q = np.minimum(x[:, None] * y, 0.999)
+    q[0] = 0
+    which, c = np.repeat(np.arange(30), 7), np.tile([0, 1, 2, 3, 8, 30, 400], 30)
+    got = pairs.upper_tails(q, n, which, c)
+    for w, k, g in zip(which, c, got):
+        want = pairs.upper_tail(q[w], n, int(k))
+        assert g == want or abs(g - want) < 1e-6
+
+
 def test_upper_tail():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -113,16 +113,18 @@ def _stored_links(links, left, right, names):
 
 
 def _beside_stored(inc, item, basket, stored):
-    """Every pair that meets at all or is stored, with its surprise and the stored count (null for none)."""
+    """Every pair that meets (but in one heavy basket only) or is stored, with its surprise and the stored count (null for none)."""
     s = pairs.stage(stored, "stored")
-    p = pairs.cooccurrence(inc, item, basket, 1, also=s.select(F.col("sl").alias("l"), F.col("sr").alias("r")))
+    p = pairs.cooccurrence(inc, item, basket, 2, also=s.select(F.col("sl").alias("l"), F.col("sr").alias("r")))
     return p.join(s, (F.col("l") == F.col("sl")) & (F.col("r") == F.col("sr")), "left").drop("sl", "sr")
 
 
 @llm.query("p4_found", _PAIRS)
 def p4_found(spark, d):
-    p = pairs.cooccurrence(_task_paths(spark, d), "path", "task", 5, 0.2, tails=False)
-    return p.where("common * n_baskets >= 5 * n_l * n_r").select(F.col("l").alias("l_path"), F.col("r").alias("r_path"))
+    p = pairs.cooccurrence(_task_paths(spark, d), "path", "task", 5, 0.2)
+    # surprise orders the pairs, the stated bound on the lift decides
+    p = p.where("log10_q <= 0 and common * n_baskets >= 5 * n_l * n_r")
+    return p.select(F.col("l").alias("l_path"), F.col("r").alias("r_path"))
 
 
 @llm.query("p4_files")
@@ -132,12 +134,28 @@ def p4_files(spark, d):
     return _beside_stored(_task_paths(spark, d), "path", "task", s).withColumnsRenamed({"l": "l_path", "r": "r_path"})
 
 
+@llm.query("p4_file_groups")
+def p4_file_groups(spark, d):
+    """Paths of heavy tasks: two of a task that p4_files does not list meet in this task only."""
+    return pairs.study(_task_paths(spark, d), "path", "task").members.withColumnsRenamed({"basket": "task_name", "item": "path"})
+
+
+@llm.query("p4_files_once")
+def p4_files_once(spark, d):
+    """Pairs of paths that meet in one heavy task only, by their numbers of tasks, with lift and surprise."""
+    return pairs.study(_task_paths(spark, d), "path", "task").once
+
+
+def _title_terms(spark, d):
+    t = terms.one_per_record(table(spark, d, "task"), "name", "title").select(F.monotonically_increasing_id().alias("task"), terms.title_terms(F.col("v")).alias("ts"))
+    return pairs.stage(t.select("task", F.explode("ts").alias("term")), "title-terms")
+
+
 @llm.query("p4_terms")
 def p4_terms(spark, d):
-    t = terms.one_per_record(table(spark, d, "task"), "name", "title").select(F.monotonically_increasing_id().alias("task"), terms.title_terms(F.col("v")).alias("ts"))
     names = table(spark, d, "term_rank").select(F.col("term_id").alias("nid"), F.lower(F.trim("term")).alias("nm"))
     s = _stored_links(table(spark, d, "term_links"), "l_term", "r_term", names)
-    return _beside_stored(pairs.stage(t.select("task", F.explode("ts").alias("term")), "title-terms"), "term", "task", s).withColumnsRenamed({"l": "l_term", "r": "r_term"})
+    return _beside_stored(_title_terms(spark, d), "term", "task", s).withColumnsRenamed({"l": "l_term", "r": "r_term"})
 
 
 @llm.query("p9_found")
