@@ -114,9 +114,8 @@ def _stored_links(links, left, right, names):
 
 def _beside_stored(inc, item, basket, stored):
     """Every pair that meets (but in one heavy basket only) or is stored, with its surprise and the stored count (null for none)."""
-    s = pairs.stage(stored, "stored")
-    p = pairs.cooccurrence(inc, item, basket, 2, also=s.select(F.col("sl").alias("l"), F.col("sr").alias("r")))
-    return p.join(s, (F.col("l") == F.col("sl")) & (F.col("r") == F.col("sr")), "left").drop("sl", "sr")
+    s = pairs.stage(stored.select(F.col("sl").alias("l"), F.col("sr").alias("r"), F.col("stored_cnt").alias("note")), "stored")
+    return pairs.cooccurrence(inc, item, basket, 2, also=s).withColumnRenamed("note", "stored_cnt")
 
 
 @llm.query("p4_found", _PAIRS)
