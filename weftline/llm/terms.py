@@ -1,8 +1,9 @@
 """Frequency of every distinct term by last-seen counters.
 
-Titles are cut into terms in the JVM. Each partition then holds, for a term, its occurrences, its records and the record it was
-last seen in: an occurrence adds to the records only if that record is another one. Records come one after another and never
-span partitions, so no set of records is kept, and the partial counters of a term simply add up.
+Titles are cut into terms in the JVM, one row for each occurrence. Occurrences are hash-partitioned by term, hot terms being spread over
+salts of the record, and come ordered by record. A partition then holds, for a term, its occurrences, its records and the record it was last
+seen in: an occurrence adds to the records only if that record is another one. So no set of records is kept, and since a record has
+one salt, the partial counters of a term simply add up.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.runtime import spread
+from weftline.runtime import cores, stage
 
-#: A partition's counters are passed on when they hold so many terms, so memory doesn't grow with the vocabulary.
+#: A partition's counters are passed on, between two records, when they hold so many terms, so memory doesn't grow with the vocabulary.
 FLUSH = 500_000
+#: Parts that the occurrences of a term are spread over, by record.
+SALTS = 16
 
 
 def title_terms(c):
@@ -35,43 +38,52 @@ def one_per_record(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counters from occurrences (term, rec) that come ordered by rec."""
     seen: dict[str, list[int]] = {}
-    base = records = 0
-    schema = pa.schema([("term", pa.string()), ("total", pa.int64()), ("recs", pa.int64()), ("with_terms", pa.int64())])
+    schema = pa.schema([("term", pa.string()), ("total", pa.int64()), ("recs", pa.int64())])
+    last = None
 
-    def out(extra: int) -> pa.RecordBatch:
-        terms = list(seen)
-        a = [seen[t] for t in terms]
-        cols = [terms + [None], [x[0] for x in a] + [0], [x[1] for x in a] + [0], [0] * len(a) + [extra]]
+    def out() -> pa.RecordBatch:
+        a = list(seen.values())
+        cols = [list(seen), [x[0] for x in a], [x[1] for x in a]]
+        seen.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
+    def add(terms: pa.Array, rec: np.ndarray) -> None:
+        words = terms.dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")  # within a term by record
+        c, r = code[order], rec[order]
+        start = np.concatenate([[True], c[1:] != c[:-1]])
+        new = start.copy()
+        new[1:] |= r[1:] != r[:-1]
+        first = np.flatnonzero(start)
+        final = np.append(first[1:], len(r)) - 1
+        total, recs = np.diff(np.append(first, len(r))), np.add.reduceat(new.astype(np.int64), first)
+        for t, n_all, n_rec, r0, r1 in zip(words.dictionary.take(pa.array(c[first])).to_pylist(), total.tolist(), recs.tolist(), r[first].tolist(), r[final].tolist()):
+            if (s := seen.get(t)) is None:
+                seen[t] = [n_all, n_rec, r1]
+            else:
+                s[0] += n_all
+                s[1] += n_rec - (s[2] == r0)  # the record went on from the batch before
+                s[2] = r1
+
     for b in batches:
-        col = b.column(0)
-        n = np.asarray(col.value_lengths().fill_null(0))
-        records += int((n > 0).sum())
-        rec = np.repeat(np.arange(len(n)), n)
-        words = col.flatten().dictionary_encode()
-        if len(words):
-            code = words.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(code, kind="stable")  # within a term by record
-            c, r = code[order], rec[order]
-            new = np.ones(len(c), bool)
-            new[1:] = (c[1:] != c[:-1]) | (r[1:] != r[:-1])
-            total, recs = np.bincount(c), np.bincount(c, weights=new).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            last = r[np.append(first[1:], len(r)) - 1]
-            for t, n_all, n_rec, f0, l0 in zip(words.dictionary.to_pylist(), total.tolist(), recs.tolist(), r[first].tolist(), last.tolist()):
-                if (s := seen.get(t)) is None:
-                    seen[t] = [n_all, n_rec, base + l0]
-                else:
-                    s[0] += n_all
-                    s[1] += n_rec - (s[2] == base + f0)
-                    s[2] = base + l0
-        base += len(n)
+        rec = b.column(1).to_numpy()
+        if not len(rec):
+            continue
+        cut = 0
         if len(seen) > FLUSH:
-            yield out(records)
-            seen, records = {}, 0
-    yield out(records)
+            other = np.flatnonzero(rec != last)
+            cut = int(other[0]) if len(other) else len(rec)
+            if cut:
+                add(b.column(0).slice(0, cut), rec[:cut])
+            if cut < len(rec):
+                yield out()
+        if cut < len(rec):
+            add(b.column(0).slice(cut), rec[cut:])
+        last = rec[-1]
+    yield out()
 
 
 def term_counts(texts: DataFrame, column: str = "v") -> DataFrame:
@@ -79,11 +91,14 @@ def term_counts(texts: DataFrame, column: str = "v") -> DataFrame:
 
     Null and empty texts have no terms. An empty table gives an empty result.
     """
-    part = spread(texts.select(title_terms(F.col(column)).alias("t")), factor=1).mapInArrow(_count, "term string, total long, recs long, with_terms long")
-    s = part.groupBy("term").agg(F.sum("total").alias("total_count"), F.sum("recs").alias("task_cnt"), F.sum("with_terms").alias("n"))
-    s = s.persist()
-    n = s.where("term is null").select(F.col("n").alias("n_records"))
-    return s.where("term is not null").drop("n").crossJoin(F.broadcast(n))
+    # written once, so that records keep their numbers whatever is computed again
+    recs = stage(texts.select(title_terms(F.col(column)).alias("ts")).where(F.size("ts") > 0).withColumn("rec", F.monotonically_increasing_id()), "records")
+    occ = recs.select(F.explode("ts").alias("term"), "rec")
+    spark = texts.sparkSession
+    n = max(cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = occ.repartition(n, F.col("term"), F.pmod(F.xxhash64("rec"), F.lit(SALTS))).sortWithinPartitions("rec").mapInArrow(_count, "term string, total long, recs long")
+    s = part.groupBy("term").agg(F.sum("total").alias("total_count"), F.sum("recs").alias("task_cnt"))
+    return s.withColumn("n_records", F.lit(recs.count()).cast("long"))
 
 
 def mark(min_records: int = 3, max_share: float = 0.05):
