@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from fractions import Fraction
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -55,7 +56,7 @@ def test_splits_keep_groups_together(spark, seed):
                 seen |= com[c]
         if len(seen) > 1:
             want.add((t, min(seen)))
-    assert {tuple(r) for r in splits.tied_tasks(raw).collect()} == want
+    assert {tuple(r) for r in splits.tied_tasks(splits.split_records(raw, plan)).collect()} == want
 
 
 def test_split_quotas():
@@ -72,10 +73,48 @@ def test_split_quotas():
     assert splits.plan_bundles([], plan) == {} and splits.plan_bundles([(1, "R", 2)], []) == {(1, "R"): []}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_flow_of_one_size_is_the_least_cost(seed):
+    # against every way to deal the components of one size
+    rng = random.Random(seed)
+    size, labels = rng.randrange(1, 5), ["T:1", "C:1"]
+    bundles = [(size, lab, rng.randrange(1, 7)) for lab in labels]
+    plan = [("a", 0.6), ("b", 0.3), ("c", 0.1)]
+    total = sum(s * n for s, _, n in bundles)
+    share = [Fraction(w).limit_denominator(10**6) for _, w in plan]
+    quota, lab_quota = splits._apportion(total, share), {lab: splits._apportion(s * n, share) for s, lab, n in bundles}
+
+    def cost(deal):
+        rows = [size * sum(d[k] for d in deal) for k in range(3)]
+        over = sum(max(0, r - q) for r, q in zip(rows, quota)) * splits.OVER_TOTAL
+        return over + sum(max(0, size * d[k] - lab_quota[lab][k]) for d, (_, lab, _) in zip(deal, bundles) for k in range(3)) * splits.OVER_LABEL
+
+    ways = [[(a, b, n - a - b) for a in range(n + 1) for b in range(n + 1 - a)] for _, _, n in bundles]
+    got = splits.plan_bundles(bundles, plan)
+    mine = [got[s, lab] for s, lab, _ in bundles]
+    assert all(sum(d) == n for d, (_, _, n) in zip(mine, bundles))
+    assert cost(mine) // splits.OVER_LABEL == min(map(cost, itertools.product(*ways))) // splits.OVER_LABEL
+
+
+def test_large_components_stay_in_the_flow():
+    rng = random.Random(3)
+    b = Counter((int(1 / rng.random() ** 0.9), rng.choice("TCR") + f":{rng.randrange(6)}") for _ in range(30_000))
+    bundles = [(s, lab, n) for (s, lab), n in b.items()] + [(20_000, "T:1", 1), (9_000, "T:2", 1), (9_000, "C:2", 1)]
+    plan = [("train", 0.8), ("test", 0.1), ("validation", 0.1)]
+    total = sum(s * n for s, _, n in bundles)
+    got = splits.plan_bundles(bundles, plan)
+    assert all(sum(got[s, lab]) == n for s, lab, n in bundles)
+    for k, (_, w) in enumerate(plan):
+        assert abs(sum(s * got[s, lab][k] for s, lab, _ in bundles) - w * total) <= 1
+    for lab in {lab for _, lab, _ in bundles} - {"T:1", "T:2", "C:2"}:  # labels without a component beyond their quotas are spread like all rows
+        rows = [sum(s * got[s, x][k] for s, x, _ in bundles if x == lab) for k in range(3)]
+        assert all(abs(r - w * sum(rows)) <= 0.02 * sum(rows) + 1 for r, (_, w) in zip(rows, plan)), (lab, rows)
+
+
 def test_splits_of_nothing(spark):
     plan = spark.createDataFrame([("train", 1.0)], "split string, share double")
     assert splits.split_records(raw_table(spark, []), plan).collect() == []
-    assert splits.tied_tasks(raw_table(spark, [])).collect() == []
+    assert splits.tied_tasks(splits.split_records(raw_table(spark, []), plan)).collect() == []
     two = splits.split_records(raw_table(spark, [(None, None, None, None, None)] * 2), plan).collect()
     assert [(r.split, r.group_key) for r in two] == [("train", "R:")] * 2
     one = splits.split_records(raw_table(spark, [(1, None, None, None, None)]), plan.limit(0)).collect()
@@ -106,22 +145,22 @@ def test_terms(spark):
     assert r["the"].n_stored == 2 and r["gone"].total_count == 0 and r["gone"].mark is None and None not in r
 
 
-def test_last_seen_counters_flush(monkeypatch):
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_last_seen_counters(monkeypatch, size):
     import pyarrow as pa
 
-    monkeypatch.setattr(terms, "FLUSH", 2)
-    rng = random.Random(1)
-    recs = [[rng.choice("abcdefg") for _ in range(rng.randrange(5))] or None for _ in range(60)]
+    # records go on from one batch to the next, where only the record last seen tells that it is the same
+    monkeypatch.setattr(terms, "FLUSH", 4)
+    rng = random.Random(size)
+    recs = [[rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6))] for _ in range(60)] + [["a", "b", "a", "a", "b"]] * 3
+    rows = [(t, i * 10) for i, r in enumerate(recs) for t in r]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in p]), pa.array([x[1] for x in p], pa.int64())], ["term", "rec"]) for p in (rows[k : k + size] for k in range(0, len(rows), size))]
     total, cnt = Counter(), Counter()
-    batches = [pa.RecordBatch.from_arrays([pa.array(recs[i : i + 7], pa.list_(pa.string()))], ["t"]) for i in range(0, 60, 7)]
-    n = 0
     for b in terms._count(iter(batches)):
-        for t, a, r, k in zip(*[c.to_pylist() for c in b.columns]):
-            n += k
-            if t is not None:
-                total[t] += a
-                cnt[t] += r
-    assert total == Counter(w for r in recs for w in r or []) and cnt == Counter(w for r in recs for w in set(r or [])) and n == sum(1 for r in recs if r)
+        for t, a, r in zip(*(c.to_pylist() for c in b.columns)):
+            total[t] += a
+            cnt[t] += r
+    assert total == Counter(w for r in recs for w in r) and cnt == Counter(w for r in recs for w in set(r))
 
 
 def test_pairs(spark, monkeypatch):

@@ -47,7 +47,7 @@ SELECT DISTINCT least(a, b) AS l_id, greatest(a, b) AS r_id FROM t WHERE s >= 0.
 
 @llm.query("p1_found", _TIED)
 def p1_found(spark, d):
-    return splits.tied_tasks(table(spark, d, "rawdata"))
+    return splits.tied_tasks(splits.split_records(table(spark, d, "rawdata"), table(spark, d, "split_plan")))
 
 
 @llm.query("p1_splits")

@@ -1,33 +1,38 @@
 """Splits that keep related records together.
 
 Records of one task or one commit, directly or through other tasks and commits, form a component and share a split. Components
-of one size and label profile are interchangeable, so they are bundled; a min-cost flow over bundles gives each split
-its quota, integral rounding turns the flow into whole components, and members are taken by hash.
+of one size and label profile (what they hold, and the years of their first commit) are interchangeable, so they are bundled. Bundles
+of one size are the sources of a min-cost flow whose unit is a component: to the splits, up to what each split still lacks in all and of each
+label, with costs for every row of deviation. Flows in whole units are whole, so sizes are solved one after another, the largest
+first, and what rounding to components leaves is a deviation that smaller sizes make up. Members are taken by hash.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.names import commit_time, resolve_commits, task_key
+from weftline.functions.names import commit_time, resolve_commits, sha_text, task_key
 from weftline.operators.components import connected_components
 from weftline.operators.ranking import exact_rank
 from weftline.runtime import stage
 
-#: Cost of a row above a split's quota of all rows, and above its quota of one label's rows.
-OVER_TOTAL, OVER_LABEL = 1_000_000, 1000
+#: Cost of a row above a split's quota of all rows, of one above its quota of a label's rows, and of a component above its share of a bundle.
+OVER_TOTAL, OVER_LABEL, OVER_BUNDLE = 1_000_000, 1000, 30
 #: A quota is filled in so many steps of rising cost, so that splits that cannot all be filled are filled alike.
 STEPS = 20
+#: Years of first commits that one label spans.
+YEARS = 5
 
 
 def link_records(raw: DataFrame) -> DataFrame:
-    """(id, task_key, commit, cmt_date, created_at) of raw with canonical task and commit; null where a value names none."""
-    r = raw.select("id", "sha", "cmt_date", "created_at", task_key(F.col("task_name")).alias("task_key"))
-    return resolve_commits(r, "sha", "commit")
+    """(id, task_key, commit, commit_time) of raw with canonical task, commit and date; null where a value names none. raw is read once."""
+    r = raw.select("id", sha_text(F.col("sha")).alias("sha"), task_key(F.col("task_name")).alias("task_key"), commit_time(F.col("cmt_date"), F.col("created_at")).alias("commit_time"))
+    return resolve_commits(stage(r, "canonical"), "sha", "commit").drop("sha")
 
 
 def tie_tasks(links: DataFrame) -> DataFrame:
@@ -100,9 +105,8 @@ class _Flow:
 def plan_bundles(bundles: list[tuple[int, str, int]], plan: list[tuple[str, float]]) -> dict[tuple[int, str], list[int]]:
     """(size, label) -> how many of the bundle's components each split of plan gets. bundles: (size, label, components).
 
-    Bundles are at most the square root of twice the rows for each label, so this runs on the driver however many rows there are.
-    Labels' flows meet only in the splits' totals, so the network has a node for each label's size class: components larger
-    than the smallest split's share of the rows enter one by one and largest first, since the flow may not cut them.
+    Bundles are at most the square root of twice the rows for each label, and labels some dozens, so this runs on the driver however many
+    rows there are; the network of one size has a node for each of its bundles, each of its labels and split, and each split.
     """
     total = sum(s * n for s, _, n in bundles)
     out = {(s, lab): [0] * len(plan) for s, lab, _ in bundles}
@@ -110,58 +114,48 @@ def plan_bundles(bundles: list[tuple[int, str, int]], plan: list[tuple[str, floa
         return out
     whole = sum(Fraction(w).limit_denominator(10**6) for _, w in plan)
     share = [Fraction(w).limit_denominator(10**6) / whole for _, w in plan]
-    quota = _apportion(total, share)
-    left = quota[:]
-    labels = sorted({lab for _, lab, _ in bundles})
-    lab_left = {lab: _apportion(sum(s * n for s, b, n in bundles if b == lab), share) for lab in labels}
-
-    def give(size: int, lab: str, k: int, n: int) -> None:
-        out[size, lab][k] += n
-        left[k] -= size * n
-        lab_left[lab][k] -= size * n
-
-    big = max(1, min((q for q in quota if q), default=1) // 20)
-    rest = []
-    for size, lab, n in sorted(bundles, key=lambda b: (-b[0], b[1])):
-        if size <= big:
-            rest.append((size, lab, n))
-            continue
-        for _ in range(n):
-            cost = [OVER_TOTAL * (max(0, size - left[k]) - max(0, -left[k])) + OVER_LABEL * (max(0, size - lab_left[lab][k]) - max(0, -lab_left[lab][k])) for k in range(len(plan))]
-            k = min(range(len(plan)), key=lambda k: (cost[k], -left[k], k))
-            give(size, lab, k, 1)
-    # flow: source -> label's rows -> (label, split) up to its quota free, beyond it at OVER_LABEL -> split, beyond quota at OVER_TOTAL -> sink
-    m, L = len(plan), len(labels)
-    f = _Flow(2 + L + m)
-    arcs = {}
-    for i, lab in enumerate(labels):
-        f.arc(0, 2 + i, sum(s * n for s, b, n in rest if b == lab), 0)
+    m, left = len(plan), _apportion(total, share)
+    rows, by_size = defaultdict(int), defaultdict(list)
+    for s, lab, n in bundles:
+        rows[lab] += s * n
+        by_size[s].append((lab, n))
+    lab_left = {lab: _apportion(n, share) for lab, n in rows.items()}
+    for size in sorted(by_size, reverse=True):
+        own = sorted(by_size[size])
+        count = sum(n for _, n in own)
+        f = _Flow(2 + len(own) * (1 + m) + m)
+        split = lambda k: 2 + len(own) * (1 + m) + k  # noqa: B023,E731
+        arcs = {}
+        for i, (lab, n) in enumerate(own):
+            bundle = 2 + i * (1 + m)
+            f.arc(0, bundle, n, 0)
+            for k, w in enumerate(_apportion(n, share)):
+                arcs[lab, k] = [f.arc(bundle, bundle + 1 + k, w, 0), f.arc(bundle, bundle + 1 + k, n, OVER_BUNDLE)]
+                for cap, over in _units(lab_left[lab][k], size, n):
+                    f.arc(bundle + 1 + k, split(k), cap, over * OVER_LABEL)
         for k in range(m):
-            arcs[lab, k] = [f.arc(2 + i, 2 + L + k, max(0, lab_left[lab][k]), 0), f.arc(2 + i, 2 + L + k, total, OVER_LABEL)]
-    for k in range(m):
-        for j in range(STEPS):
-            f.arc(2 + L + k, 1, max(0, left[k]) * (j + 1) // STEPS - max(0, left[k]) * j // STEPS, j)
-        f.arc(2 + L + k, 1, total, OVER_TOTAL)
-    f.run(0, 1)
-    flow = {key: sum(f.g[a[0]][a[3]][1] for a in two) for key, two in arcs.items()}
-    # integral rounding, largest first: each bundle takes its part of the label's flow; what rounding leaves is carried to smaller sizes
-    rows = {lab: sum(s * n for s, b, n in rest if b == lab) for lab in labels}
-    for size, lab, n in rest:
-        want = [Fraction(max(0, flow[lab, k]), max(1, rows[lab])) * n for k in range(m)]
-        take = [int(w) for w in want]
-        while sum(take) > n:
-            take[max(range(m), key=lambda k: take[k])] -= 1
-        for k in range(m):
-            give(size, lab, k, take[k])
-            flow[lab, k] -= take[k] * size
-        for _ in range(n - sum(take)):
-            k = max(range(m), key=lambda k: (min(flow[lab, k], left[k]), left[k], -k))
-            give(size, lab, k, 1)
-            flow[lab, k] -= size
-        rows[lab] -= size * n
+            for cap, over in _units(left[k], size, count):
+                if over:
+                    f.arc(split(k), 1, cap, over * OVER_TOTAL)
+                else:
+                    for j in range(STEPS):
+                        f.arc(split(k), 1, cap * (j + 1) // STEPS - cap * j // STEPS, j)
+        f.run(0, 1)
+        for (lab, k), two in arcs.items():
+            got = sum(f.g[a[0]][a[3]][1] for a in two)
+            out[size, lab][k] = got
+            left[k] -= size * got
+            lab_left[lab][k] -= size * got
     return out
 
 
+def _units(left: int, size: int, n: int) -> list[tuple[int, int]]:
+    """(components, rows beyond the quota for each) in the order of cost, when `left` rows are lacking: those that fit, the one that fits in part, the others."""
+    fit = max(0, left) // size
+    part = max(0, left) - fit * size
+    return [(fit, 0), (1 if part else 0, size - part), (n, size)]
+
+
 def _apportion(n: int, share: list[Fraction]) -> list[int]:
     q = [int(n * s) for s in share]
     for k in sorted(range(len(share)), key=lambda k: (q[k] - n * share[k], k))[: n - sum(q)]:
@@ -173,13 +167,14 @@ def split_records(raw: DataFrame, plan: DataFrame) -> DataFrame:
     """One row per row of raw: (id, task_key, commit, commit_time, group_key, split).
 
     Shares of rows of plan (split, share; its few rows are read to the driver, rows with a null or non-positive share are ignored) are
-    met as nearly as whole components allow. A label is what the component holds: tasks, a commit alone or a row alone.
-    Null and unreadable values tie nothing, but rows with neither id, task nor commit are one group. Repeated rows stay rows of
+    met as nearly as whole components allow. A label is what the component holds (tasks, a commit alone or a row alone) and the years of its first
+    readable commit. Null and unreadable values tie nothing, but rows with neither id, task nor commit are one group. Repeated rows stay rows of
     their own. An empty table gives an empty result; an empty plan gives null splits.
     """
     links = stage(link_records(raw), "links")
     grouped = stage(assign_groups(links, stage(tie_tasks(links), "ties")), "grouped")
-    comps = stage(grouped.groupBy("group_key").agg(F.count("*").alias("size")).withColumn("label", F.substring("group_key", 1, 1)), "comps")
+    years = F.coalesce(F.floor(F.year(F.min("commit_time")) / YEARS).cast("string"), F.lit("-"))
+    comps = stage(grouped.groupBy("group_key").agg(F.count("*").alias("size"), F.concat_ws(":", F.substring("group_key", 1, 1), years).alias("label")), "comps")
     bundles = [(r["size"], r.label, r.n) for r in comps.groupBy("size", "label").agg(F.count("*").alias("n")).collect()]
     wanted = [(r["split"], r.share) for r in plan.where("split is not null and share > 0").orderBy("split").collect()]
     counts = plan_bundles(bundles, wanted)
@@ -190,14 +185,13 @@ def split_records(raw: DataFrame, plan: DataFrame) -> DataFrame:
             if n:
                 rows.append((size, lab, name, at, at + n))
                 at += n
-    spark = raw.sparkSession
-    # bounded by splits x labels x the square root of twice the rows
-    cut = spark.createDataFrame(rows, schema)
+    cut = raw.sparkSession.createDataFrame(rows, schema)
+    if len(rows) <= 100_000:  # splits x labels x the square root of twice the rows
+        cut = F.broadcast(cut)
     ranked = exact_rank(comps, ["size", "label"], F.col("group_key"), "rank", 256).alias("c")
-    got = ranked.join(F.broadcast(cut.alias("p")), (F.col("c.size") == F.col("p.size")) & (F.col("c.label") == F.col("p.label")) & (F.col("c.rank") >= F.col("p.lo")) & (F.col("c.rank") < F.col("p.hi")), "left")
+    got = ranked.join(cut.alias("p"), (F.col("c.size") == F.col("p.size")) & (F.col("c.label") == F.col("p.label")) & (F.col("c.rank") >= F.col("p.lo")) & (F.col("c.rank") < F.col("p.hi")), "left")
     got = got.select(F.col("c.group_key").alias("gk"), "split")
-    when = commit_time(F.col("cmt_date"), F.col("created_at"))
-    return grouped.join(got, grouped.group_key == got.gk, "left").select("id", "task_key", "commit", when.alias("commit_time"), "group_key", "split")
+    return grouped.join(got, grouped.group_key == got.gk, "left").select("id", "task_key", "commit", "commit_time", "group_key", "split")
 
 
 def split_report(assigned: DataFrame, plan: DataFrame) -> DataFrame:
@@ -210,7 +204,9 @@ def split_report(assigned: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def tied_tasks(raw: DataFrame) -> DataFrame:
-    """(task_name, group_name) of every task that shares a commit, directly or through others, with another task."""
-    links = stage(link_records(raw.withColumn("cmt_date", F.lit(None).cast("string"))).where("task_key is not null and commit is not null").select("task_key", "commit").distinct(), "links")
-    return tie_tasks(links).select(F.col("node").alias("task_name"), F.col("component").alias("group_name"))
+def tied_tasks(assigned: DataFrame) -> DataFrame:
+    """(task_name, group_name) of every task that shares a commit, directly or through others, with another task, from records that have got
+    their splits (of split_records): tasks of one group, named after the smallest of them."""
+    t = assigned.where("task_key is not null and split is not null").select(F.col("task_key").alias("task_name"), F.substring("group_key", 3, 1 << 30).alias("group_name")).distinct()
+    tied = t.where("task_name <> group_name").select("group_name").distinct()
+    return t.join(tied, "group_name", "left_semi").select("task_name", "group_name")
