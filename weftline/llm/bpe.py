@@ -2,7 +2,7 @@
 
 A batch's texts are cut into pieces by the tokenizer's pattern. Pieces not met before in this worker are put as rows of byte ids
 into matrices of one width class; in every round each row merges its leftmost pair of minimum rank, found by a hashed pair
-table, and all rows shrink by one column. Rows without a mergeable pair leave. Encoded pieces stay in a bounded cache.
+table, and all rows shrink by one column; wide rows merge all places of that pair. Rows without a mergeable pair leave. Encoded pieces stay in a bounded cache.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.runtime import spread
+from weftline.runtime import wide
 
 #: Folder of the public tokenizers' files; a parameter of every call.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -159,12 +159,9 @@ class Encoder:
             step = max(1, (1 << 21) // int(w))
             for k in range(0, len(own), step):
                 part = own[k : k + step]
-                if w > WIDE and self.ordered:
-                    for i in part:
-                        rows[i] = self._wide(self.byte_id[np.frombuffer(raw[i], np.uint8)])
-                else:
-                    for i, r in zip(part, self._rows([raw[i] for i in part], lens[part])):
-                        rows[i] = r
+                merge = self._wide if w > WIDE and self.ordered else self._rows
+                for i, r in zip(part, merge([raw[i] for i in part], lens[part])):
+                    rows[i] = r
         for i, w in enumerate(fresh):
             self.index[w] = base + i
         size = np.array([len(r) for r in rows], np.int64)
@@ -209,21 +206,33 @@ class Encoder:
                 r, c = k[ok], at[ok]
                 rank[r, c] = self.table.ranks(m[r, c], m[r, c + 1])
 
-    def _wide(self, ids: np.ndarray) -> np.ndarray:
-        """One long row: all places of the minimum pair at once, leftmost first where they overlap."""
-        while len(ids) > 1:
-            rank = self.table.ranks(ids[:-1], ids[1:])
-            best = rank.min()
-            if best == NO_RANK:
-                break
-            at = np.flatnonzero(rank == best)
-            run = np.cumsum(np.concatenate([[0], np.diff(at) > 1]))
-            at = at[(at - at[np.searchsorted(run, run)]) % 2 == 0]
-            ids[at] = self.table.merged[best]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids = ids[keep]
-        return ids
+    def _wide(self, raw: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
+        """The same for wide rows: a round merges all places of a row's minimum pair, leftmost first where they overlap, and rows close up."""
+        n, width = len(raw), int(lens.max())
+        m = np.full((n, width), -1, np.int32)
+        m[np.arange(width) < lens[:, None]] = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
+        row, out = np.arange(n), [None] * n
+        while True:
+            rank = self.table.ranks(m[:, :-1], m[:, 1:])
+            best = rank.min(1, initial=NO_RANK)
+            stay = best < NO_RANK
+            for r, ids in zip(row[~stay], m[~stay]):
+                out[r] = ids[ids >= 0]
+            if not stay.any():
+                return out
+            row, m, rank, best = row[stay], m[stay], rank[stay], best[stay]
+            k, at = np.nonzero(rank == best[:, None])
+            place = k * (m.shape[1] + 1) + at
+            run = np.cumsum(np.concatenate([[0], np.diff(place) > 1]))
+            use = (place - place[np.searchsorted(run, run)]) % 2 == 0
+            k, at = k[use], at[use]
+            m[k, at] = self.table.merged[best[k]]
+            keep = m >= 0
+            keep[k, at + 1] = False
+            size = keep.sum(1)
+            new = np.full((len(m), int(size.max())), -1, np.int32)
+            new[np.arange(new.shape[1]) < size[:, None]] = m[keep]
+            m = new
 
 
 def _pattern(model: dict) -> str:
@@ -258,7 +267,7 @@ def encode(df: DataFrame, id: str = "doc_id", text: str = "text", name: str = "b
                 off = (ends[a : z + 1] - ends[a]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.ListArray.from_arrays(pa.array(off), pa.array(ids[ends[a] : ends[z]]))], [id, "ids"])
 
-    src = spread(df.select(F.col(id), F.col(text).alias("_text")), id, "_text")
+    src = wide(df.select(F.col(id), F.col(text).alias("_text")))
     return src.mapInArrow(run, f"{id} {df.schema[id].dataType.simpleString()}, ids array<int>")
 
 
@@ -278,5 +287,5 @@ def token_counts(df: DataFrame, id: str = "doc_id", text: str = "text", name: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(e.encode(b.column(1).to_pylist())[0], pa.int64())], [id, "n_tokens"])
 
-    src = spread(df.select(F.col(id), F.col(text).alias("_text")), id, "_text")
+    src = wide(df.select(F.col(id), F.col(text).alias("_text")))
     return src.mapInArrow(run, f"{id} {df.schema[id].dataType.simpleString()}, n_tokens long")

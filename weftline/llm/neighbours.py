@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.runtime import drop, spread, stage
+from weftline.runtime import drop, spread, stage, wide
 
 #: Nodes of a block; neighbours kept of a node while the graph is built; trees of the first graph; their leaves.
 BLOCK, WIDTH, TREES, LEAF = 24_000, 24, 3, 128
@@ -59,7 +59,7 @@ def usable(df: DataFrame, id: str, path: str, kind: str, vector: str) -> DataFra
             yield pd.DataFrame({"id": k["_id"].tolist(), "path": k["_p"].tolist(), "kind": k["_k"].tolist(), "dim": dim, "cls": cls, "v": vs}, columns=["id", "path", "kind", "dim", "cls", "v"]).astype(object)
 
     s = df.select(F.col(id).alias("_id"), F.col(path).alias("_p"), F.col(kind).alias("_k"), F.col(vector).cast("array<float>").alias("_v")).where("_id is not null and _v is not null")
-    return spread(s, "_id").mapInPandas(run, "id long, path string, kind string, dim int, cls string, v binary")
+    return wide(s).mapInPandas(run, "id long, path string, kind string, dim int, cls string, v binary")
 
 
 class Tree:
