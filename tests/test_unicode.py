@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import __spark_entry__ as entry
-from weftline.functions.text import BRACKETS, NOISE, STOP_WORDS
+from weftline.functions.text import BRACKETS, IDENTIFIER, NOISE, STOP_WORDS
 
 TEXTS = [None, "", "Fix [ядро] Ошибка!\nmore", "修复 登录, テスト42", "Façade e\u0301te\u0301 update_x", "añadió fixесть fix", "🚀 added (naïve) wip-тест", "plain ascii fix", "한국어 버그"]
 
@@ -33,3 +33,10 @@ def test_tokens_of_all_scripts(spark, tmp_path):
     assert get("A09_tokens_of_task_all") == by((i, ",".join(sorted(x))) for i, x in ts.items())
     words = lambda x: [w for w in re.sub(r"[^\w\s]|\d|_", " ", (x or "").lower()).split() if len(w) > 1 and w not in STOP_WORDS]
     assert get("F07_tfidf_tokens_all") == by((i, words(x)) for i, x in enumerate(TEXTS * 12))
+
+
+def test_identifiers_of_all_scripts(spark, tmp_path):
+    texts = [*TEXTS, "İstanbul e\u0301té sum∑sum a#b_c 2x x2 #tag _x éclair x", "a1#. b# #c 9", "x" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.tokens for r in entry.queries()["F10_identifier_tokens_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: [w for w in re.findall(IDENTIFIER, (x or "").lower()) if len(w) >= 2] for i, x in enumerate(texts)}

@@ -71,8 +71,9 @@ def title_terms(title: Column) -> Column:
 
 
 def identifier_tokens(text: Column, least: int = 2) -> Column:
-    """identifiers of the lower-cased text with `least` characters or more."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(IDENTIFIER), 0)
+    """identifiers of the lower-cased text with `least` characters or more. A word ends at combining marks, as everywhere here."""
+    edge = rf"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(IDENTIFIER.replace(r"\b", edge)), 0)
     return F.filter(found, lambda x: F.length(x) >= least)
 
 

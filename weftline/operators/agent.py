@@ -48,3 +48,15 @@ def read_files(selected: DataFrame, contents: DataFrame, query: str = "query_id"
     """Q07, Q16: (query, path, text) of selected files with their contents cut to limit characters; unknown files have null."""
     s = selected.select(query, F.explode("files").alias("path"))
     return s.join(contents.select("path", F.substring("text", 1, limit).alias("text")), "path", "left").select(query, "path", "text")
+
+
+def simple_agent(context: DataFrame, generate: Generator) -> DataFrame:
+    """Q18: context (query_id, prompt) of five modules, ten files and three tasks, answered once: (query_id, prompt, answer)."""
+    return answer(context, generate)
+
+
+def multi_agent(context: DataFrame, analyse: Generator, respond: Generator) -> DataFrame:
+    """Q19: (query_id, analysis, answer): one generator analyses the modules of a prompt, another answers prompt and analysis together."""
+    a = answer(context, analyse).withColumnRenamed("answer", "analysis")
+    both = a.select("query_id", "analysis", F.concat_ws("\n\n# Analysis\n", "prompt", "analysis").alias("prompt"))
+    return answer(both, respond).select("query_id", "analysis", "answer")

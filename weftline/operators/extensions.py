@@ -150,11 +150,83 @@ def turn_report(turns: DataFrame, conv: str, turn: str, tokens: str, budget: int
 
 
 def novelty_structure(ranked: DataFrame, known: DataFrame, module: Column) -> DataFrame:
-    """(query_id, novelty, structure, ses): share of results the query doesn't know yet, share in its most frequent module, and
-    the root of their product."""
+    """(query_id, novelty, structure, ses, hes): share of results the query doesn't know yet, share in its most frequent module, the
+    root of their product and their harmonic mean (0 if both are 0)."""
     k = known.select("query_id", "path").distinct().withColumn("_k", F.lit(1))
     x = ranked.join(k, ["query_id", "path"], "left").withColumn("m", module)
     a = x.groupBy("query_id").agg((1 - F.count("_k") / F.count("*")).alias("novelty"), F.count("*").alias("n"))
     m = x.groupBy("query_id", "m").agg(F.count("*").alias("c")).groupBy("query_id").agg(F.max("c").alias("c"))
     s = F.col("c") / F.col("n")
-    return a.join(m, "query_id").select("query_id", "novelty", s.alias("structure"), F.sqrt(F.col("novelty") * s).alias("ses"))
+    return a.join(m, "query_id").select("query_id", "novelty", s.alias("structure"), F.sqrt(F.col("novelty") * s).alias("ses"), F.coalesce(2 * F.col("novelty") * s / F.nullif(F.col("novelty") + s, F.lit(0.0)), F.lit(0.0)).alias("hes"))
+
+
+def memoization(key_terms: DataFrame, links: DataFrame, least: int = 3) -> DataFrame:
+    """(id, mhr): share of a task's distinct terms (id, term) that stand in a link (l, r, cnt) of `least` tasks or more."""
+    k = links.where(F.col("cnt") >= least)
+    known = k.select(F.col("l").alias("term")).union(k.select("r")).distinct().withColumn("_k", F.lit(1))
+    return key_terms.join(known, "term", "left").groupBy("id").agg((F.count("_k") / F.count("*")).alias("mhr"))
+
+
+def noise_reduction(candidates: DataFrame, relevant: DataFrame, kept: DataFrame) -> DataFrame:
+    """(query_id, noise, removed): of a query's candidates (query_id, file) that aren't relevant, their number and the share that isn't kept.
+    All three sides are distinct; queries without such candidates have no row."""
+    n = candidates.join(relevant, ["query_id", "file"], "left_anti").join(kept.withColumn("_k", F.lit(1)), ["query_id", "file"], "left")
+    return n.groupBy("query_id").agg(F.count("*").alias("noise"), (1 - F.count("_k") / F.count("*")).alias("removed"))
+
+
+def specificity(vectors: DataFrame, id: str, vector: str, dim: int) -> DataFrame:
+    """(id, specificity) = 1 less the cosine to the mean of all units' vectors; null for a vector without direction."""
+    from weftline.functions.vectors import cosine, mean_columns, pack
+
+    c = vectors.agg(*mean_columns(vector, dim)).select(pack(dim).alias("_c"))
+    return vectors.join(F.broadcast(c)).select(id, (1 - cosine(F.col(vector), F.col("_c"))).alias("specificity"))
+
+
+def expand_queries(queries: DataFrame, ranked: DataFrame, terms: DataFrame, k: int = 5, n: int = 10) -> DataFrame:
+    """(query_id, text, expanded): the text (null as empty) and, behind it, the n terms that most of its k best documents share and it hasn't itself,
+    most shared first, ties by term. queries (query_id, text), terms (path, term) distinct."""
+    q = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = q.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9-]+"))).alias("term"))
+    c = ranked.where(F.col("rank") <= k).select("query_id", "path").join(terms, "path").groupBy("query_id", "term").agg(F.count("*").alias("docs")).join(own, ["query_id", "term"], "left_anti")
+    top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("docs").desc(), "term"))
+    t = c.withColumn("_r", top).where(F.col("_r") <= n).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_r", "term"))).alias("a"))
+    return q.join(t, "query_id", "left").select("query_id", "text", F.concat_ws(" ", "text", F.array_join(F.transform("a", lambda x: x["term"]), " ")).alias("expanded"))
+
+
+def accept_expansion(expanded: DataFrame, embedded, least: float = 0.6) -> DataFrame:
+    """Adds cos, that of the text's and the expanded text's vector, and used: the expanded text, or the text where cos is below `least` (or unknown).
+    embedded(df, id, column) gives (id, v) of texts."""
+    from weftline.functions.vectors import cosine
+
+    a, b = embedded(expanded, "query_id", F.col("text")).withColumnRenamed("v", "_a"), embedded(expanded, "query_id", F.col("expanded")).withColumnRenamed("v", "_b")
+    c = a.join(b, "query_id").select("query_id", cosine(F.col("_a"), F.col("_b")).alias("cos"))
+    return expanded.join(c, "query_id").withColumn("used", F.when(F.col("cos") >= least, F.col("expanded")).otherwise(F.col("text")))
+
+
+def time_spread(ranked: DataFrame, dates: DataFrame) -> DataFrame:
+    """(query_id, temporal_coverage, recency) of results (query_id, path) by dates (path, at: seconds): their span by that of all dates, and how late
+    in it they lie on average. Null where all dates are one."""
+    z = dates.agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
+    d = ranked.join(dates, "path").join(F.broadcast(z))
+    span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0).cast(dates.schema["at"].dataType))
+    return d.groupBy("query_id").agg(F.max((F.col("at") - F.col("_lo")) / span).alias("_a"), F.min((F.col("at") - F.col("_lo")) / span).alias("_b"), F.avg((F.col("at") - F.col("_lo")) / span).alias("recency")).select("query_id", (F.col("_a") - F.col("_b")).alias("temporal_coverage"), "recency")
+
+
+def diversity(ranked: DataFrame, modules: DataFrame) -> DataFrame:
+    """(query_id, diversity): different modules by retrieved pairs of path and module; modules (path, module) distinct."""
+    return ranked.select("query_id", "path").join(modules, "path").groupBy("query_id").agg((F.countDistinct("module") / F.count("*")).alias("diversity"))
+
+
+def efficiency(answer: Column, context: Column) -> Column:
+    """Terms of the answer that are new to the context, by the answer's tokens; null for an answer without tokens."""
+    return F.size(F.array_except(F.array_distinct(answer), context)) / F.nullif(F.size(answer), F.lit(0))
+
+
+def keyword_coverage(texts: DataFrame, id: str, reference: str, candidate: str, least_idf: float) -> DataFrame:
+    """(id, coverage): share of the reference's terms with idf = ln(n / df) above least_idf that the candidate has; rows without such terms are left out."""
+    n = texts.agg(F.count("*").alias("_n"))
+    t = texts.select(id, F.explode(F.array_distinct(reference)).alias("_t"))
+    df = t.groupBy("_t").agg(F.count("*").alias("_d")).join(F.broadcast(n)).where(F.ln(F.col("_n") / F.col("_d")) > least_idf).select("_t")
+    key = t.join(df, "_t")
+    c = texts.select(id, F.explode(F.array_distinct(candidate)).alias("_t")).withColumn("_k", F.lit(1))
+    return key.join(c, [id, "_t"], "left").groupBy(id).agg((F.count("_k") / F.count("*")).alias("coverage"))

@@ -57,8 +57,9 @@ def resolve_hierarchy(df: DataFrame, id: str = "id", parent: str = "parent_id",
         if n.gone == 0 and n.left == 0:
             act = s.select("id", "up", "top", "d", "seg", "ids")
             break
-        cut = s.where("cut").select(F.col("id").alias("x"), F.col("up").alias("xup"), F.col("d").alias("xd"), F.col("seg").alias("xseg"), F.col("ids").alias("xids"))
-        rest = s.where("not cut").join(cut, F.col("up") == F.col("x"), "left")
+        # a cut node has one child, so it is joined by the child's id: the children of a hub never meet in one task
+        cut = s.where("cut").select(F.col("kid").alias("x"), F.col("up").alias("xup"), F.col("d").alias("xd"), F.col("seg").alias("xseg"), F.col("ids").alias("xids"))
+        rest = s.where("not cut").drop("kid").join(cut, F.col("id") == F.col("x"), "left")
         spliced = stage(
             rest.select(
                 "id",

@@ -198,15 +198,6 @@ def _(spark, d):
     return O.turn_report(t, "task_name", "doc_id", "tokens")
 
 
-@Q("X33_novelty_structure")
-def _(spark, d):
-    q, _, w = dual_sides(spark, d)
-    f = task_files(spark, d)
-    ranked = S.top_k(q, w, 5).join(f.select(F.col("task_name").alias("path"), "file"), "path").select("query_id", F.col("file").alias("path")).distinct()
-    known = q.select("query_id").join(f.select(F.col("task_name").alias("query_id"), F.col("file").alias("path")), "query_id")
-    return O.novelty_structure(ranked, known, X.module_path(F.col("path")))
-
-
 @Q("G01_evaluation_grid")
 def _(spark, d):
     t = eligible(spark, d)

@@ -244,11 +244,6 @@ def _(spark, d):
     return out
 
 
-@Q("U08_vector_backend", "SELECT path, type FROM vec_collection WHERE type = 'module' AND vector IS NOT NULL AND len(vector) = 64")
-def _(spark, d):
-    return table(spark, d, "vec_collection").where("type = 'module' and size(vector) = 64").select("path", "type")
-
-
 @Q("Q02_similar_tasks", _dual_base() + "SELECT query_id, path, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'High' WHEN score >= 0.5 THEN 'Medium' ELSE 'Low' END AS relevance FROM b")
 def _(spark, d):
     q, _, w = dual_sides(spark, d)
@@ -270,21 +265,6 @@ def _(spark, d):
     return core.queries["SC22_file_contents"](spark, d)
 
 
-@Q("Q16_two_phase")
-def _(spark, d):
-    p = core.queries["Q15_prompts"](spark, d)
-    picked = agent.select_files(agent.answer(p, agent.Echo()))
-    known = task_files(spark, d).select(F.col("file").alias("path")).distinct().withColumn("text", F.col("path"))
-    return agent.read_files(picked, known)
-
-
-@Q("Q20_variant_search")
-def _(spark, d):
-    q, c, _ = search_sides(spark, d)
-    v = c.withColumns({"target": F.lit("module"), "split": F.lit("recent")})
-    return S.top_k(q, v.where("target = 'module' and split = 'recent'"), R.cap(20, "modules"))
-
-
 @Q("Q21_batch_search", _dual_base() + "SELECT query_id, path, round(score, 6) AS score FROM b WHERE rank = 1")
 def _(spark, d):
     q, _, w = dual_sides(spark, d)

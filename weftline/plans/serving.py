@@ -87,32 +87,12 @@ def _(spark, d):
     return sinks.collection_info(table(spark, d, "vec_collection"))
 
 
-@Q("Q01_search_modules")
-def _(spark, d):
-    q, c, _ = search_sides(spark, d)
-    return S.top_k(q, c, R.cap(10, "modules"))
-
-
 @Q("Q17_task_enrichment")
 def _(spark, d):
     q, _, w = dual_sides(spark, d)
     return R.enrich(S.top_k(q, w, 10), tickets(spark, d), raw(spark, d))
 
 
-@Q("Q15_prompts")
-def _(spark, d):
-    q, _, w = dual_sides(spark, d)
-    _, c, _ = search_sides(spark, d)
-    t = tickets(spark, d).select(F.col("name").alias("path"), "title", "description")
-    arr = lambda df, *cols: df.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", *cols))).alias("a"))
-    mods = arr(S.top_k(q, c, 5), "path", "score").withColumnRenamed("a", "mods")
-    tasks = arr(S.top_k(q, w, 5).join(t, "path", "left"), "path", "title", "description", "score").withColumnRenamed("a", "tasks")
-    files = arr(S.top_k(q, centroids(joined_vectors(spark, d, "file"), "file").withColumnRenamed("file", "path"), 10), "path", "score").withColumnRenamed("a", "files")
-    j = q.select("query_id").join(t.select(F.col("path").alias("query_id"), X.combine_fields(F.col("title"), F.col("description")).alias("text")), "query_id").join(mods, "query_id", "left").join(tasks, "query_id", "left").join(files, "query_id", "left")
-    none = F.array().cast("array<struct<path:string,content:string,score:double>>")
-    return j.select("query_id", R.prompt(F.col("text"), F.col("mods"), F.col("files"), F.col("tasks"), none).alias("prompt"))
-
-
 @Q("A38_project_stats", "WITH r AS (SELECT count(*) AS rows, count(DISTINCT sha) AS commits, count(DISTINCT sha) FILTER (task_name IS NOT NULL AND task_name <> '') AS linked_commits, count(DISTINCT task_name) FILTER (task_name <> '') AS linked_tasks, min(cmt_date) AS first_date, max(cmt_date) AS last_date FROM rawdata), t AS (SELECT count(*) AS tasks, count(*) FILTER (coalesce(description, '') <> '') AS with_description, count(*) FILTER (coalesce(comments, '') <> '') AS with_comments FROM (SELECT DISTINCT id, name, title, description, comments FROM task)) SELECT *, round(rows / greatest(commits, 1), 2) AS files_per_commit, round(100 * linked_commits / greatest(commits, 1), 2) AS linkage_pct, linked_tasks >= 600 AS tickets_usable, commits >= 600 AS commits_usable FROM r, t")
 def _(spark, d):
     return A.project_stats(raw(spark, d), tickets(spark, d))
@@ -247,13 +227,8 @@ def _(spark, d):
     return raw(spark, d).select("id", X.extract_task_name(F.col("message")).alias("bracketed"), X.extract_task_name(F.col("message"), "simple").alias("simple"))
 
 
-@Q("F03_normalize_commit", r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(split_part(coalesce(message, ''), chr(10), 1)), '[\[\](){}<>]', ' ', 'g'), '\b(fix(es|ed)?|close[sd]?|resolve[sd]?|revert|merge|update|refactor|add(s|ed)?|remove[sd]?|bump|wip|nit|minor|style|cleanup|typo|test[s]?)\b', ' ', 'g'), '[^a-zA-Z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM rawdata WHERE message IS NULL OR regexp_full_match(message, '[\x00-\x7f]*')")
-def _(spark, d):
-    m = raw(spark, d).where(F.col("message").isNull() | F.col("message").rlike(r"^[\x00-\x7f]*$"))
-    return m.select("id", X.normalize_commit(F.col("message"), ascii=True).alias("text"))
-
-
-@Q("F03_normalize_commit_all")
+# words are bounded by characters of no word, so neighbouring ones are found in two passes
+@Q("F03_normalize_commit_all", r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(split_part(coalesce(message, ''), chr(10), 1)), '[\[\](){}<>]', ' ', 'g'), '(^|[^\p{L}\p{N}_])(fix(es|ed)?|close[sd]?|resolve[sd]?|revert|merge|update|refactor|add(s|ed)?|remove[sd]?|bump|wip|nit|minor|style|cleanup|typo|test[s]?)($|[^\p{L}\p{N}_])', '\1 \5', 'g'), '(^|[^\p{L}\p{N}_])(fix(es|ed)?|close[sd]?|resolve[sd]?|revert|merge|update|refactor|add(s|ed)?|remove[sd]?|bump|wip|nit|minor|style|cleanup|typo|test[s]?)($|[^\p{L}\p{N}_])', '\1 \5', 'g'), '[^\p{L}\p{N}_\s\x0b\x85\p{Z}]', ' ', 'g'), '[\s\x0b\x85\p{Z}]+', ' ', 'g')) AS text FROM rawdata")
 def _(spark, d):
     return raw(spark, d).select("id", X.normalize_commit(F.col("message")).alias("text"))
 

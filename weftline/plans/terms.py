@@ -9,66 +9,39 @@ from weftline.plans.registry import core
 from weftline.runtime import table
 
 Q = core.query
-_TOK_LIST = "SELECT id, regexp_split_to_array(upper(replace(concat_ws(' ', coalesce(title,''), coalesce(description,''), coalesce(comments,'')), 'ß', 'ss')), '[^a-zA-Z0-9_]+') AS ts FROM t"
-_TOK = f"SELECT id, unnest(ts) AS token FROM ({_TOK_LIST})"
+_TOK_ALL_LIST = "SELECT id, regexp_split_to_array(upper(replace(concat_ws(' ', coalesce(title,''), coalesce(description,''), coalesce(comments,'')), 'ß', 'ss')), '[^\\p{L}\\p{N}_]+') AS ts FROM t"
+_TOK_ALL = f"SELECT id, unnest(ts) AS token FROM ({_TOK_ALL_LIST})"
 
 
-def _tokens(spark, d, ascii=True):
-    return tickets(spark, d).select("id", X.upper_split(X.concat_fields(F.col("title"), F.col("description"), F.col("comments")), ascii=ascii).alias("ts"))
+def _tokens(spark, d):
+    return tickets(spark, d).select("id", X.upper_split(X.concat_fields(F.col("title"), F.col("description"), F.col("comments"))).alias("ts"))
 
 
-@Q("A01_token_dictionary", ctes("t", more=f"k AS ({_TOK})") + "SELECT DISTINCT token FROM k")
+@Q("A01_token_dictionary_all", ctes("t", more=f"k AS ({_TOK_ALL})") + "SELECT DISTINCT token FROM k")
 def _(spark, d):
     return _tokens(spark, d).select(F.explode("ts").alias("token")).distinct()
 
 
-@Q("A02_token_bigrams", ctes("t", more=f"k AS ({_TOK_LIST}), e AS (SELECT id, ts, unnest(range(1, len(ts) + 1)) AS i FROM k)") + "SELECT CASE WHEN i > 1 THEN ts[i - 1] END AS prev, ts[i] AS cur, count(*) AS cnt FROM e GROUP BY ALL")
+@Q("A02_token_bigrams_all", ctes("t", more=f"k AS ({_TOK_ALL_LIST}), e AS (SELECT id, ts, unnest(range(1, len(ts) + 1)) AS i FROM k)") + "SELECT CASE WHEN i > 1 THEN ts[i - 1] END AS prev, ts[i] AS cur, count(*) AS cnt FROM e GROUP BY ALL")
 def _(spark, d):
     return O.bigrams(_tokens(spark, d), "id", "ts").groupBy("prev", "cur").agg(F.count("*").alias("cnt"))
 
 
-@Q("A03_frequent_tokens", ctes("t", more=f"k AS ({_TOK})") + "SELECT token, count(*) AS cnt FROM k GROUP BY token HAVING count(*) > 100")
+@Q("A03_frequent_tokens_all", ctes("t", more=f"k AS ({_TOK_ALL})") + "SELECT token, count(*) AS cnt FROM k GROUP BY token HAVING count(*) > 100")
 def _(spark, d):
     return _tokens(spark, d).select(F.explode("ts").alias("token")).groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 100")
 
 
-@Q("A08_token_document_frequency", ctes("t", more=f"k AS ({_TOK})") + "SELECT token, count(DISTINCT id) AS df FROM k GROUP BY token")
+@Q("A08_token_document_frequency_all", ctes("t", more=f"k AS ({_TOK_ALL})") + "SELECT token, count(DISTINCT id) AS df FROM k GROUP BY token")
 def _(spark, d):
-    # a document is one row, so its distinct tokens are found in the row and no distinct is shuffled
     return _tokens(spark, d).select(F.explode(F.array_distinct("ts")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-@Q("A09_tokens_of_task", ctes("t", more=f"k AS ({_TOK})") + "SELECT id, string_agg(token, ',' ORDER BY token) AS tokens FROM k GROUP BY id")
+@Q("A09_tokens_of_task_all", ctes("t", more=f"k AS ({_TOK_ALL})") + "SELECT id, string_agg(token, ',' ORDER BY token) AS tokens FROM k GROUP BY id")
 def _(spark, d):
     return _tokens(spark, d).select("id", F.array_join(F.sort_array("ts"), ",").alias("tokens"))
 
 
-# The same over the words of all scripts; the five above split as plain regular expressions do.
-@Q("A01_token_dictionary_all")
-def _(spark, d):
-    return _tokens(spark, d, False).select(F.explode("ts").alias("token")).distinct()
-
-
-@Q("A02_token_bigrams_all")
-def _(spark, d):
-    return O.bigrams(_tokens(spark, d, False), "id", "ts").groupBy("prev", "cur").agg(F.count("*").alias("cnt"))
-
-
-@Q("A03_frequent_tokens_all")
-def _(spark, d):
-    return _tokens(spark, d, False).select(F.explode("ts").alias("token")).groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 100")
-
-
-@Q("A08_token_document_frequency_all")
-def _(spark, d):
-    return _tokens(spark, d, False).select(F.explode(F.array_distinct("ts")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-
-@Q("A09_tokens_of_task_all")
-def _(spark, d):
-    return _tokens(spark, d, False).select("id", F.array_join(F.sort_array("ts"), ",").alias("tokens"))
-
-
 @Q(
     "A04_module_tfidf",
     ctes("tt", "tm", more="j AS (SELECT module, term, sum(cnt) AS c FROM tt JOIN tm ON tt.name = tm.task_name GROUP BY ALL), m AS (SELECT count(DISTINCT module) AS m FROM tm), s AS (SELECT module, sum(c) AS size FROM j GROUP BY 1), f AS (SELECT term, count(*) AS df FROM j GROUP BY 1)")
@@ -235,13 +208,6 @@ def _(spark, d):
     return z.join(h, "term", "left").select("term", "total", F.coalesce("hhi", F.lit(0.0)).alias("hhi"), F.coalesce("zone", F.lit(4)).alias("zone"))
 
 
-@Q("F10_identifier_tokens", "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\\b[a-z]+[a-z0-9#_]*\\b|\\b[a-z0-9#_]*[a-z]+\\b'), lambda x: len(x) >= 2)) AS INTEGER) AS n FROM documents WHERE text IS NULL OR regexp_full_match(text, '[\\x00-\\x7f]*')")
-def _(spark, d):
-    # compared on ASCII texts: the word boundary of plain regular expressions is another one beyond
-    t = table(spark, d, "documents").where(F.col("text").isNull() | F.col("text").rlike("^[\\x00-\\x7f]*$"))
-    return t.select("doc_id", F.size(X.identifier_tokens(F.col("text"))).alias("n"))
-
-
 @Q("F10_identifier_tokens_all")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.identifier_tokens(F.col("text")).alias("tokens"))
@@ -250,12 +216,7 @@ def _(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 
 
-@Q("F07_tfidf_tokens", ctes("t") + f"SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(description, '')), '[^a-zA-Z0-9_\\s]|[0-9]|_', ' ', 'g'), '\\s+'), lambda x: len(x) > 1 AND NOT list_contains([{_STOP}], x)) AS tokens FROM t")
-def _(spark, d):
-    return tickets(spark, d).select("id", X.tfidf_tokens(F.col("description"), ascii=True).alias("tokens"))
-
-
-@Q("F07_tfidf_tokens_all")
+@Q("F07_tfidf_tokens_all", ctes("t") + f"SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(description, '')), '[^\\p{{L}}\\p{{N}}_\\s\\x0b\\x85\\p{{Z}}]|\\p{{Nd}}|_', ' ', 'g'), '[\\s\\x0b\\x85\\p{{Z}}]+'), lambda x: len(x) > 1 AND NOT list_contains([{_STOP}], x)) AS tokens FROM t")
 def _(spark, d):
     return tickets(spark, d).select("id", X.tfidf_tokens(F.col("description")).alias("tokens"))
 

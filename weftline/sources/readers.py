@@ -75,6 +75,16 @@ def issues(df: DataFrame, tracker: str, json: str = "json") -> DataFrame:
     return TRACKERS[tracker](df, json)
 
 
+def bulk_issues(pages: DataFrame, tracker: str, page: str = "page") -> DataFrame:
+    """SC11: the issues of landed pages, one row a page: a list, or an object that holds it as issues. GitHub's pull requests are skipped, and
+    GitHub and GitLab give no comments in bulk. A page that is no JSON has no issues; an issue on two pages comes once."""
+    text = F.trim(page)
+    items = F.coalesce(F.when(text.startswith("["), F.from_json(text, "array<string>")), F.from_json(text, "issues array<string>")["issues"])
+    d = pages.select(F.explode(items).alias("json")).distinct()
+    out = issues(d, tracker)
+    return out.withColumn("comments", F.lit("")) if tracker in ("github", "gitlab") else out
+
+
 def pending_tasks(task: DataFrame) -> DataFrame:
     """SC13, P08: tasks that still lack details."""
     return task.where("name is not null and title is null")
