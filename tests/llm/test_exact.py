@@ -242,6 +242,31 @@ def test_reports_hold_every_pair(spark, tmp_path):
     }
 
 
+def test_whole_reports_list_pairs_of_heavy_tasks(spark, tmp_path):
+    from weftline.llm.catalog import llm
+
+    inc = [("T-1", "a"), ("T-1", "b"), ("T-2", "a"), ("T-2", "p0")] + [("T-9", f"p{i}") for i in range(110)]
+    com = Counter()
+    for t in ("T-1", "T-2", "T-9"):
+        com.update(itertools.combinations(sorted({p for u, p in inc if u == t}), 2))
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put(inc, "task_name string, path string", "rawdata")
+    put([(i, None, f"p{i}") for i in range(112)], "id long, parent_id long, name string", "module_tree")
+    put([(1, 0, 1, 3), (1, 0, 111, 4)], "batch_no long, l_file long, r_file long, cnt long", "file_links")
+    put([(1, "A-1", " ".join(f"w{i}" for i in range(105)))], "id long, name string, title string", "task")
+    put([(1, "w0"), (2, "w1")], "term_id long, term string", "term_rank")
+    put([(1, 2, 1, 5)], "batch_no long, l_term long, r_term long, cnt long", "term_links")
+    rows = llm.queries["p4_files_all"](spark, str(tmp_path)).collect()
+    got = {(r.l_path, r.r_path): (r.common, r.stored_cnt) for r in rows}
+    assert len(rows) == len(got) and got == {k: (v, None) for k, v in com.items()} | {("p0", "p1"): (1, 3), ("p0", "p111"): (0, 4)}
+    # the same surprise as the pairs that are not listed have
+    once = {(r.n_l, r.n_r): r for r in llm.queries["p4_files_once"](spark, str(tmp_path)).collect()}
+    r = next(r for r in rows if (r.l_path, r.r_path) == ("p2", "p3"))
+    assert all(abs(r[c] - once[1, 1][c]) < 1e-9 for c in ("lift", "expected", "log10_p", "log10_q"))
+    terms_ = llm.queries["p4_terms_all"](spark, str(tmp_path)).collect()
+    assert {(r.l_term, r.r_term): r.stored_cnt for r in terms_} == {k: 5 if k == ("w0", "w1") else None for k in itertools.combinations(sorted(f"w{i}" for i in range(105)), 2)}
+
+
 @pytest.mark.parametrize("heavy", [8, 1000])
 def test_surprise_is_over_all_pairs(spark, heavy):
     rng = random.Random(heavy)

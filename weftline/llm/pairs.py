@@ -4,8 +4,8 @@ Counts of common baskets are exact. What they are set against is a bipartite con
 keeps its expected number of baskets and every basket its expected size; a pair's count is then Poisson-binomial, its upper tail
 is the p-value, and Benjamini-Hochberg over all pairs gives q.
 
-Pairs that meet in one heavy basket and nowhere else are never listed, since a basket of a third of all rows has more of them than
-anything can hold: the basket's members stand for them, and a table by the members' frequencies gives their lift and surprise.
+With `least` 1 every pair is listed. With `least` 2 those that meet in one heavy basket and nowhere else are not, since a basket of a third of
+all rows has more of them than anything can hold: the basket's members stand for them, and a table by the members' frequencies gives their lift and surprise.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def count_pairs(inc: DataFrame, item: str, basket: str, least: int = 5, max_shar
     """pairs (l, r, common, deep, note) of item ids, l < r as ids, with at least `least` common baskets, deep of them heavy; items (item, iid, n).
 
     Rows with a null item or basket are ignored, repeated rows count once. Items in fewer than `least` baskets, or in more than
-    max_share of all, take part in no pair. With `least` 2, pairs with one common basket come out too unless that is a heavy one; and every pair of
+    max_share of all, take part in no pair. With `least` 2, pairs with one common basket come out too unless that is a heavy one; with `least` 1 or 2, every pair of
     also (l, r: items, note: a number) whose two items have a basket, even if they never meet; it keeps its note.
 
     Two items with `least` common baskets still share one if each leaves out the least - 1 of its heavy baskets that come first in one order
@@ -294,12 +294,12 @@ def surprise(kinds: DataFrame, null: Null, tests: int, least: int = 0) -> DataFr
 def study(inc: DataFrame, item: str, basket: str, least: int = 2, max_share: float | None = None, also: DataFrame | None = None, heavy: int = HEAVY) -> Study:
     """Pairs of items with at least `least` common baskets, l < r by code points; lift is common * n_baskets / (n_l * n_r).
 
-    With `least` 2 nothing is left out: pairs with one common basket are listed too, but for those whose only one is heavy, which
-    members and once hold; q is over all n (n - 1) / 2 pairs of items. also (l, r, note), l and r distinct, l < r: pairs that come out even if they never
+    With `least` 1 every pair that meets is listed, and once is empty. With `least` 2 pairs with one common basket are listed too, but for those whose only one is heavy, which
+    members and once hold. In both q is over all n (n - 1) / 2 pairs of items. also (l, r, note), l and r distinct, l < r: pairs that come out even if they never
     meet, with common 0, and with their note (null for other pairs); an item without any basket has n 0, and its pairs no lift. With a greater `least`, p and q are given
     that a pair meets so often, over the pairs that do. An empty table gives empty results.
     """
-    if also is not None and (least != 2 or max_share is not None):
+    if also is not None and (least > 2 or max_share is not None):
         raise ValueError("pairs that are not counted would come out as never met")
     got = count_pairs(inc, item, basket, least, max_share, heavy, also)
     items = got.items
@@ -318,8 +318,8 @@ def study(inc: DataFrame, item: str, basket: str, least: int = 2, max_share: flo
         once = every.unionByName(listed.withColumn("t", -F.col("t"))).groupBy("a", "b").agg(F.sum("t").alias("m")).where("m > 0").select("a", "b", F.lit(1).cast("long").alias("common"), "m")
     whole = kinds.withColumn("listed", F.lit(1)).unionByName(once.withColumn("listed", F.lit(0)))
     all_kinds = stage(whole.groupBy("a", "b", "common").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("listed")).alias("listed")), "kinds")
-    tests = n_items * (n_items - 1) // 2 if least == 2 else p.count()
-    k = stage(surprise(all_kinds.select("a", "b", "common", "m"), null, tests, 0 if least == 2 else least), "kinds")
+    tests = n_items * (n_items - 1) // 2 if least <= 2 else p.count()
+    k = stage(surprise(all_kinds.select("a", "b", "common", "m"), null, tests, 0 if least <= 2 else least), "kinds")
     # names and kinds are joined to bare ids; kinds last and sent to all while they are few
     few = k.count() <= 100_000
     scored = lambda d: d.join(F.broadcast(k.drop("m")) if few else k.drop("m"), ["a", "b", "common"])
