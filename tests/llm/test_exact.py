@@ -440,6 +440,34 @@ def test_overlaps(spark):
     assert overlap.split_overlaps(task.limit(0), s).collect() == [] and overlap.split_overlaps(task, s.limit(0)).collect() == []
 
 
+def test_overlaps_are_not_exchanged_for_each_shard(spark, monkeypatch):
+    # texts of all sizes over many shards against every pair, training texts staying where they were read
+    rng = random.Random(7)
+    base = [[rng.randrange(40) for _ in range(rng.randrange(1, 40))] for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        x = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 4)):
+            x[rng.randrange(len(x))] = rng.randrange(40)
+        texts.append(x)
+    rows = [(f"c{i}", len(x), np.array(x, np.int64).tobytes()) for i, x in enumerate(texts)] + [("none", 0, b"")]
+    monkeypatch.setattr(overlap, "SHARD", 150)
+    plan = overlap.shard_plan(sorted(Counter(map(len, texts[60:])).items()))
+    assert len(plan) > 3 and plan[-1][1] > 8 and max(k for _, _, k in plan) > 1
+    df = pairs.stage(spark.createDataFrame(rows, "cls string, n int, w binary"), "t")
+    at = lambda a, b: df.where(f"n = 0 or cast(substring(cls, 2) as int) between {a} and {b}")
+    near = overlap.near_same(at(0, 59), at(60, 119))
+    got = near.collect()
+    want = set()
+    for i, j in itertools.product(range(60), range(60, 120)):
+        c = overlap.common_subsequence(texts[i], texts[j])
+        if 10 * c >= 9 * max(len(texts[i]), len(texts[j])):
+            want.add((f"c{i}", f"c{j}", c, len(texts[i]), len(texts[j])))
+    assert set(map(tuple, got)) == want and len(got) == len(want) and want
+    assert "CoGroup" not in near._jdf.queryExecution().toString()
+    assert overlap.near_same(at(0, 59), at(200, 300)).collect() == []
+
+
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 200)
     rng = np.random.default_rng(2)
