@@ -190,6 +190,36 @@ def test_matching(spark):
         assert got == want
 
 
+def _odd_texts(seed, n):
+    """Changed copies of texts of one to four words of bits, with characters beyond the counted classes and long runs."""
+    rng = random.Random(seed)
+    alphabet = "abcde é中\U0001f600" + "".join(chr(0x400 + k) for k in range(60))
+    base = ["".join(rng.choice(alphabet[: rng.choice([3, 9, 69])]) for _ in range(k)) for k in (1, 8, 20, 63, 64, 65, 128, 130, 200)]
+
+    def changed(x):
+        x = list(x)
+        for _ in range(rng.randrange(12)):
+            x.insert(rng.randrange(len(x) + 1), rng.choice(alphabet))
+            if rng.random() < 0.6:
+                del x[rng.randrange(len(x))]
+        return "".join(x)
+
+    return [changed(rng.choice(base)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [60.0, 75.0, 100.0])
+def test_close_pairs_are_all_found(monkeypatch, threshold):
+    monkeypatch.setattr(matching, "TILE", 7)
+    monkeypatch.setattr(matching, "STEP", 50)
+    a, b = _odd_texts(1, 60), _odd_texts(2, 70)
+    a.append(b[0])
+    got = [tuple(int(v) for v in p) for p in zip(*matching.close_pairs(a, b, threshold))]
+    r = {(i, j): round(matching.indel_ratio(x, y), 6) for i, x in enumerate(a) for j, y in enumerate(b)}
+    want = {(i, j, round(v * (len(a[i]) + len(b[j])) / 200)) for (i, j), v in r.items() if v >= threshold}
+    assert set(got) == want and len(got) == len(want) and want
+    assert [len(x) for x in matching.close_pairs([], b, threshold)] == [0, 0, 0]
+
+
 def test_extensions(spark):
     p = spark.createDataFrame([("f", 10), ("f", 100)], "file string, line long")
     a = spark.createDataFrame([("f", 30), ("f", 31), ("f", 81), ("g", 10)], "file string, line long")
