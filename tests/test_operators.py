@@ -211,7 +211,7 @@ def _odd_texts(seed, n):
 def test_close_pairs_are_all_found(monkeypatch, threshold):
     monkeypatch.setattr(matching, "TILE", 7)
     monkeypatch.setattr(matching, "STEP", 50)
-    a, b = _odd_texts(1, 60), _odd_texts(2, 70)
+    a, b = (_odd_texts(1, 130)[k::2] for k in (0, 1))
     a.append(b[0])
     got = [tuple(int(v) for v in p) for p in zip(*matching.close_pairs(a, b, threshold))]
     r = {(i, j): round(matching.indel_ratio(x, y), 6) for i, x in enumerate(a) for j, y in enumerate(b)}
@@ -220,6 +220,24 @@ def test_close_pairs_are_all_found(monkeypatch, threshold):
     assert [len(x) for x in matching.close_pairs([], b, threshold)] == [0, 0, 0]
 
 
+def test_sequences_are_scored_only_if_they_can_reach_the_threshold(monkeypatch):
+    calls, ratio = [], matching.sequence_ratio
+    monkeypatch.setattr(matching, "sequence_ratio", lambda a, b: calls.append((a, b)) or ratio(a, b))
+    own = ["merge branch cache into main", "abcdefghijklmnop"]
+    # the same characters in another order have full counts in common, but no long subsequence
+    keys = ["".join(reversed(x)) for x in own] * 30 + ["merge branch caches into main", "merge branch cache into main"]
+    got = list(matching._best(own, keys, "sequence", 80.0))
+    assert got == [(0, 61, 100.0)] and len(calls) == 1
+    for seed in range(3):
+        a, b = (_odd_texts(seed, 80)[k::2] for k in (0, 1))
+        want = {}
+        for i, x in enumerate(a):
+            r, j = max((round(ratio(x, y), 6), -j) for j, y in enumerate(b))
+            if r >= 60:
+                want[i] = (-j, r)
+        assert {i: (j, r) for i, j, r in matching._best(a, b, "sequence", 60.0)} == want and want
+
+
 def test_extensions(spark):
     p = spark.createDataFrame([("f", 10), ("f", 100)], "file string, line long")
     a = spark.createDataFrame([("f", 30), ("f", 31), ("f", 81), ("g", 10)], "file string, line long")

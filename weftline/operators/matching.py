@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -161,6 +162,26 @@ def _subsequences(bits: np.ndarray, full: np.ndarray, i: np.ndarray, chars: int,
     return np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept])
 
 
+def _best(own: list[str], keys: list[str], method: str, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(message, title, score) of the best title of each message, the first of equals. By sequence only pairs are scored whose common subsequence
+    reaches the threshold and the best score so far."""
+    i, j, n = close_pairs(own, keys, threshold)
+    if not len(i):
+        return
+    top = np.round(200.0 * n / (np.array([len(k) for k in own])[i] + np.array([len(k) for k in keys])[j]), 6)
+    order = np.lexsort((j, -top, i))
+    for z in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+        best, at = threshold, -1
+        for p in z:
+            if top[p] < best - 1e-9 or (method == "token_sort" and at >= 0):
+                break
+            r = float(top[p]) if method == "token_sort" else round(sequence_ratio(own[i[p]], keys[j[p]]), 6)
+            if r > best or (r == best and (at < 0 or j[p] < at)):
+                best, at = r, int(j[p])
+        if at >= 0:
+            yield int(i[z[0]]), at, best
+
+
 def best_titles(messages: DataFrame, titles: DataFrame, method: str = "token_sort", threshold: float = 75.0) -> DataFrame:
     """(message, title_id, title, score) of the best title of every message with score >= threshold; ties by the smallest id.
 
@@ -181,19 +202,7 @@ def best_titles(messages: DataFrame, titles: DataFrame, method: str = "token_sor
             y = y.sort_values(["title_id", "title"], ignore_index=True)
             key = _sorted_tokens if method == "token_sort" else str
             own, keys = [key(s) for s in x.message], [key(s) for s in y.title]
-            i, j, n = close_pairs(own, keys, threshold)
-            top = np.round(200.0 * n / (np.array([len(k) for k in own])[i] + np.array([len(k) for k in keys])[j]), 6)
-            order = np.lexsort((j, -top, i))
-            for z in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(order) else []:
-                best, at = threshold, -1
-                for p in z:
-                    if top[p] < best - 1e-9:
-                        break
-                    r = float(top[p]) if method == "token_sort" else round(sequence_ratio(own[i[p]], keys[j[p]]), 6)
-                    if r > best or (r == best and (at < 0 or j[p] < at)):
-                        best, at = r, int(j[p])
-                if at >= 0:
-                    out.append((x.message[i[z[0]]], int(y.title_id[at]), y.title[at], best))
+            out = [(x.message[i], int(y.title_id[j]), y.title[j], r) for i, j, r in _best(own, keys, method, threshold)]
         return pd.DataFrame(out, columns=["message", "title_id", "title", "score"]).astype({"message": object, "title_id": "int64", "title": object, "score": float})
 
     # one task for each two blocks, which are small in bytes and must not be put together
