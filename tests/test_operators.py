@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,25 @@ def test_search_and_fusion(spark):
     assert search.top_k(q, items.limit(0), 3).collect() == []
 
 
+def test_each_item_as_query(spark, monkeypatch):
+    # the blocks' results without their exchanges: ties, equal vectors, other lengths, fewer items than k
+    rng = np.random.default_rng(4)
+    v = [x.tolist() for x in rng.integers(-2, 3, (300, 3)).astype(float) if x.any()]
+    v += [[1.0, 2.0, 3.0]] * 60 + [[0.5, 1.0, 1.5]] * 3 + [[1.0, 0.0], [0.9, 0.1], [0.0, 0.0, 0.0]]
+    items = spark.createDataFrame([(f"é{i % 7}{i}", x) for i, x in enumerate(v)], "path string, v array<double>")
+    want = search.top_k(items.withColumnRenamed("path", "query_id"), items, 6)
+    got = search.each_top_k(items, 6)
+    assert rows(got.select("query_id", "path", "score", "rank")) == rows(want.select("query_id", "path", "score", "rank"))
+    assert "CoGroup" not in got._jdf.queryExecution().toString()
+    assert search.each_top_k(items.limit(0), 6).collect() == []
+    b, near = search._Best(rng.standard_normal((700, 8)), 5), rng.standard_normal((2500, 8))
+    monkeypatch.setattr(search, "TILE", 100)
+    for z in range(0, 2500, 400):
+        b.see(near[z : z + 400], np.arange(z, min(2500, z + 400)), np.arange(z, min(2500, z + 400)).astype(object))
+    s = np.round(b.q @ near.T / np.outer(np.linalg.norm(b.q, axis=1), np.linalg.norm(near, axis=1)), 12)
+    assert (b.item == np.argsort(-s, 1, kind="stable")[:, :5]).all() and (b.name == b.item).all()
+
+
 def test_matching(spark):
     assert matching.indel_ratio("abcd", "abxd") == 75.0 and matching.token_sort_ratio("b a", "a b") == 100
     m = ["race condition in cache writer", "unrelated words entirely different", "short"]

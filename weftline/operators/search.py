@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.vectors import cosine, euclidean, manhattan
-from weftline.runtime import stage
+from weftline.runtime import cores, stage
 
 #: Queries that one task compares with its share of the collection.
 BLOCK = 4096
+#: Where all items are queries: those of one task, and queries and items of one product.
+OWN, TILE, CHUNK = 16_384, 512, 4096
 
 
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -69,6 +71,110 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
     return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "path", sign.alias("score"), "rank")
 
 
+class _Best:
+    """The k best items of each query so far, by falling score and then by the items' numbers."""
+
+    def __init__(self, q: np.ndarray, k: int) -> None:
+        n = np.linalg.norm(q, axis=1)
+        self.q, self.norm, self.k = q, n, k
+        self.unit = np.divide(q, n[:, None], out=np.zeros_like(q), where=n[:, None] > 0).astype(np.float32)
+        self.score, self.item = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        self.name = np.full((len(q), k), None, object)
+        # by how much a product of 32-bit unit vectors can be off
+        self.eps = (q.shape[1] + 8) * 1.2e-7
+
+    def see(self, v: np.ndarray, number: np.ndarray, names: np.ndarray) -> None:
+        """Items with rising numbers: what a product of 32-bit numbers can't rule out is computed in 64 bits."""
+        v, number, names = (x[_first_equal(v, self.k)] for x in (v, number, names))
+        norm = np.linalg.norm(v, axis=1)
+        unit = np.divide(v, norm[:, None], out=np.zeros_like(v), where=norm[:, None] > 0).astype(np.float32).T
+        for z in range(0, len(self.q), TILE):
+            r = self.unit[z : z + TILE] @ unit
+            least = self.score[z : z + TILE, -1] - self.eps
+            if len(v) >= self.k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(r, len(v) - self.k, 1)[:, len(v) - self.k] - 2 * self.eps)
+            i, j = np.divmod(np.flatnonzero(r >= least.astype(np.float32)[:, None] - np.float32(1e-7)), len(v))
+            if not len(i):
+                continue
+            i += z
+            n = self.norm[i] * norm[j]
+            s = np.concatenate([np.einsum("ij,ij->i", self.q[i[a : a + 65_536]], v[j[a : a + 65_536]]) for a in range(0, len(i), 65_536)])
+            s = np.round(np.divide(s, n, out=np.zeros_like(s), where=n > 0), 12)
+            own = np.unique(i)
+            row = np.concatenate([np.repeat(own, self.k), i])
+            s, item, name = (np.concatenate([old[own].reshape(-1), new]) for old, new in ((self.score, s), (self.item, number[j]), (self.name, names[j])))
+            o = np.lexsort((item, -s, row))
+            o = o[np.arange(len(o)) - np.searchsorted(row[o], row[o]) < self.k]
+            for old, new in ((self.score, s), (self.item, item), (self.name, name)):
+                old[own] = new[o].reshape(len(own), self.k)
+
+
+def _first_equal(v: np.ndarray, k: int) -> np.ndarray:
+    """All rows but those after the k-th of equal ones, which can't be among k best."""
+    _, first, group, n = np.unique(v @ np.random.default_rng(1).standard_normal(v.shape[1]), return_index=True, return_inverse=True, return_counts=True)
+    if not len(v) or n.max() <= k:
+        return np.arange(len(v))
+    same = (v == v[first[group]]).all(1)
+    o = np.lexsort((np.arange(len(v)), ~same, group))
+    nth = np.empty(len(v), np.int64)
+    nth[o] = np.arange(len(v)) - np.searchsorted(group[o], group[o])
+    return np.flatnonzero(~same | (nth < k))
+
+
+def each_top_k(items: DataFrame, k: int, path: str = "path", vector: str = "v") -> DataFrame:
+    """T01 with every item as a query: (query_id, path, score, rank) of its k best items by cosine, itself included, ties by path; paths are unique.
+
+    Nothing is exchanged for each two blocks: items are written once in the order of their paths, and a task that holds some thousand queries reads them
+    all from the shared folder (which pyarrow must know). Products of 32-bit numbers rule out what can't be among a query's best by then.
+    """
+    spark = items.sparkSession
+    i = items.select(F.col(path).alias("path"), F.col(vector).cast("array<double>").alias("v"))
+    n = 3 * cores(spark)
+    i = stage(i.repartitionByRange(n, "path").sortWithinPartitions("path"), "items", "zstd")
+    tasks, at = max(n, -(-i.count() // OWN)), i._weft_path
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        store, root = fs.FileSystem.from_uri(at if ":/" in at else f"file://{at}")
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))  # in the order of their ranges
+
+        def read() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            """(numbers, paths, elements, all vectors one after another)"""
+            at = 0
+            for f in files:
+                for b in pq.ParquetFile(f, filesystem=store).iter_batches(CHUNK):
+                    v = b.column("v")
+                    yield np.arange(at, at + len(b)), b.column("path").to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy()), v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    at += len(b)
+
+        def of(size: np.ndarray, flat: np.ndarray, d: int) -> np.ndarray:
+            return flat[np.repeat(size == d, size)].reshape(-1, d)
+
+        for b in batches:
+            for task in b.id:
+                own: dict[int, list] = {}
+                for number, names, size, flat in read():
+                    for d in np.unique(size):
+                        sel = number[size == d] % tasks == task
+                        own.setdefault(int(d), []).append((names[size == d][sel], of(size, flat, d)[sel]))
+                for d, parts in own.items():
+                    names, q = (np.concatenate(x) for x in zip(*parts))
+                    if not len(q) or not d:
+                        continue
+                    best = _Best(q, k)
+                    for number, items_, size, flat in read():
+                        if (size == d).any():
+                            best.see(of(size, flat, d), number[size == d], items_[size == d])
+                    there = np.isfinite(best.score)
+                    row, col = np.nonzero(there)
+                    yield pd.DataFrame({"query_id": names[row], "path": best.name[there], "score": best.score[there], "rank": (col + 1).astype(np.int32)})
+
+    return spark.range(0, tasks, 1, tasks).mapInPandas(run, "query_id string, path string, score double, rank int")
+
+
 def search_one(items: DataFrame, query: list[float], k: int, metric: str = "cosine", path: str = "path", vector: str = "v") -> DataFrame:
     """T01 for one query, in the JVM: (path, score), by TakeOrderedAndProject."""
     q = F.array(*[F.lit(float(x)) for x in query])

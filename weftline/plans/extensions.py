@@ -119,8 +119,8 @@ def _(spark, d):
 @Q("X11_retrieval_symmetry")
 def _(spark, d):
     _, _, w = dual_sides(spark, d)
-    r = S.top_k(w.select(F.col("path").alias("query_id"), "v"), w, 6).where("query_id <> path")
-    return O.retrieval_symmetry(r, 6)
+    r = S.each_top_k(w, 6).where("query_id <> path").select("query_id", "path", "rank")
+    return O.retrieval_symmetry(stage(r, "ranked"), 6)
 
 
 @Q("X13_keyword_boost", _dual_base().rstrip() + ", tt2 AS (SELECT DISTINCT name, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(title, '[^a-zA-Z0-9\\s-]', '', 'g')), '\\s+'), lambda x: x <> '')) AS term FROM t), rare AS (SELECT term FROM tt2 GROUP BY term HAVING count(*) <= 20), h AS (SELECT DISTINCT b.query_id, b.path FROM b JOIN tt2 x ON x.name = b.query_id JOIN rare USING (term) JOIN tt2 y ON y.name = b.path AND y.term = x.term), hq AS (SELECT DISTINCT query_id FROM h) SELECT b.query_id, b.path, round(b.score + CASE WHEN h.path IS NOT NULL THEN 0.5 WHEN hq.query_id IS NOT NULL THEN -0.3 ELSE 0 END, 6) AS score FROM b LEFT JOIN h ON h.query_id = b.query_id AND h.path = b.path LEFT JOIN hq ON hq.query_id = b.query_id")
